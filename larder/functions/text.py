@@ -7,6 +7,7 @@ from Python's character database by rule and applied with `translate`.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -94,15 +95,16 @@ def collapse(text: Column | str) -> Column:
 def nfkc(text: Column | str) -> Column:
     """Compatibility composition; rows of plain text skip the per-letter work."""
     text = _col(text)
-    compat, pairs = _compat_map(), _compose_map()
-    needs_compat = text.rlike("[" + "".join(re.escape(c) for c in compat) + "]")
-    compat_table = F.create_map(*[F.lit(v) for kv in compat.items() for v in kv])
+    compat = _compat_map()
+    single = {k: v for k, v in compat.items() if len(v) == 1}
+    longer = {k: v for k, v in compat.items() if len(v) > 1}
+    plain = F.translate(text, "".join(single), "".join(single.values()))
+    long_table = _table(longer)
     expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(compat_table, c), c)),
-        "",
+        F.transform(F.split(plain, ""), lambda c: F.coalesce(F.element_at(long_table, c), c)), ""
     )
-    plain = F.when(needs_compat, expanded).otherwise(text)
-    pair_table = F.create_map(*[F.lit(v) for kv in pairs.items() for v in kv])
+    plain = F.when(plain.rlike("[" + "".join(longer) + "]"), expanded).otherwise(plain)
+    pair_table = _table(_compose_map())
     composed = F.aggregate(
         F.split(plain, ""),
         F.lit(""),
@@ -117,6 +119,11 @@ def nfkc(text: Column | str) -> Column:
     return F.when(plain.rlike(MARKS), composed).otherwise(plain)
 
 
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map; the JSON text is folded to one literal when the plan is made."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
 def clean(text: Column | str) -> Column:
     """Compatibility form, trimmed, runs of white space collapsed."""
     return collapse(nfkc(text))

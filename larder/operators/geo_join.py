@@ -96,18 +96,18 @@ def circle_cells(circles: DataFrame, lat: str, lon: str, radius: str) -> DataFra
 
 
 def within_radius(
-    circles: DataFrame, points: DataFrame, lat: str, lon: str, radius: str
+    circles: DataFrame, points: DataFrame, lat: str, lon: str, radius: str, on: list[str] = ()
 ) -> DataFrame:
     """Circles joined to the points (`lat`, `lon`) they contain, with `distance_m`.
 
     Circle columns `lat`/`lon`/`radius` are named by the caller and must differ from
-    the point columns.
+    the point columns.  `on` names columns of both sides that must be equal as well.
     """
     cells = circle_cells(circles, lat, lon, radius)
     away = geo.distance(F.col("lat"), F.col("lon"), F.col(lat), F.col(lon))
     return (
         point_cells(points)
-        .join(cells, ["level", "row", "column"])
+        .join(cells, ["level", "row", "column", *on])
         .withColumn("distance_m", away)
         .filter(F.col("distance_m") <= F.col(radius))
         .drop("level", "row", "column")

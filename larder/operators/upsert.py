@@ -45,7 +45,7 @@ def overwrite(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str
 
 
 def _merge(old, new, keys, modes, default) -> DataFrame:
-    joined = new.alias("new").withColumn("_new", F.lit(True)).alias("new").join(
+    joined = new.withColumn("_new", F.lit(True)).alias("new").join(
         old.withColumn("_old", F.lit(True)).alias("old"), _on(keys), "full_outer"
     )
     has_new, has_old = F.col("new._new").isNotNull(), F.col("old._old").isNotNull()
