@@ -299,7 +299,7 @@ def newest(spark, sf):
 @check(
     "T13_adaptive_radius",
     views.duck("place", "location", "request")
-    + f"""SELECT request_id, radius_m, rank, place_id, round(distance_m, 0) AS distance_m FROM (
+    + f"""SELECT request_id, CAST(radius_m AS DOUBLE) AS radius_m, rank, place_id, round(distance_m, 0) AS distance_m FROM (
   SELECT *, CASE WHEN count(*) FILTER (WHERE distance_m <= 10000) OVER w >= 8 THEN 10000.0 WHEN count(*) FILTER (WHERE distance_m <= 12000) OVER w >= 8 THEN 12000.0 ELSE 15000.0 END AS radius_m,
     row_number() OVER (PARTITION BY request_id ORDER BY distance_m, updated_at DESC, place_id DESC) AS rank
   FROM (SELECT request_id, place.id AS place_id, updated_at, {duck.distance('lat', 'lon', 'latitude', 'longitude')} AS distance_m
@@ -381,9 +381,9 @@ def saved_lists(spark, sf):
 @check(
     "O16_apply_saves",
     views.duck("saved", "place")
-    + f""", log AS (SELECT user_id, event_id % n AS place_id, CASE WHEN event_type = 'click' THEN 'save' ELSE 'remove' END AS op, event_id AS at
+    + f""", log AS (SELECT user_id, event_id % n AS place_id, CASE WHEN event_type = 'click' THEN 'save' ELSE 'remove' END AS op, event_id AS moment
     FROM events CROSS JOIN (SELECT count(*) AS n FROM customer) WHERE event_type IN ('click', 'error')),
-  last_op AS (SELECT user_id, place_id, arg_max(op, at) AS op FROM log GROUP BY user_id, place_id)
+  last_op AS (SELECT user_id, place_id, arg_max(op, moment) AS op FROM log GROUP BY user_id, place_id)
   SELECT user_id, place_id FROM saved WHERE NOT EXISTS (SELECT 1 FROM last_op l WHERE l.op = 'remove' AND l.user_id = saved.user_id AND l.place_id = saved.place_id)
   UNION SELECT user_id, place_id FROM last_op JOIN place ON place.id = place_id WHERE op = 'save' AND status = 'active'""",
 )

@@ -99,14 +99,28 @@ def nfkc(text: Column | str) -> Column:
     single = {k: v for k, v in compat.items() if len(v) == 1}
     longer = {k: v for k, v in compat.items() if len(v) > 1}
     plain = F.translate(text, "".join(single), "".join(single.values()))
+    letters = "[" + "".join(longer) + "]"
     long_table = _table(longer)
+    # Cut around the few letters that need work; everything else stays whole.
     expanded = F.array_join(
-        F.transform(F.split(plain, ""), lambda c: F.coalesce(F.element_at(long_table, c), c)), ""
+        F.transform(
+            F.split(plain, f"(?={letters})|(?<={letters})"), lambda c: F.coalesce(F.element_at(long_table, c), c)
+        ),
+        "",
+    )
+    plain = F.when(plain.rlike(letters), expanded).otherwise(plain)
+    marked = f"(?=[^{MARKS[1:-1]}]{MARKS})|(?<={MARKS})(?!{MARKS})"
+    composed = F.array_join(
+        F.transform(F.split(plain, marked), lambda run: F.when(run.rlike(MARKS), _composed(run)).otherwise(run)), ""
     )
-    plain = F.when(plain.rlike("[" + "".join(longer) + "]"), expanded).otherwise(plain)
+    return F.when(plain.rlike(MARKS), composed).otherwise(plain)
+
+
+def _composed(run: Column) -> Column:
+    """One letter and its marks, joined step by step where a composed letter exists."""
     pair_table = _table(_compose_map())
-    composed = F.aggregate(
-        F.split(plain, ""),
+    return F.aggregate(
+        F.split(run, ""),
         F.lit(""),
         lambda done, c: F.coalesce(
             F.concat(
@@ -116,7 +130,6 @@ def nfkc(text: Column | str) -> Column:
             F.concat(done, c),
         ),
     )
-    return F.when(plain.rlike(MARKS), composed).otherwise(plain)
 
 
 def _table(entries: dict[str, str]) -> Column:

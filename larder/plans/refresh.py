@@ -11,7 +11,7 @@ from larder.plans import documents, ingest
 
 
 def visible_review_counts(review: DataFrame) -> DataFrame:
-    return review.groupBy("place_source_id").agg(F.count_if("is_visible is null or is_visible").alias("visible_reviews"))
+    return review.groupBy("place_source_id").agg(F.count_if(F.col("is_visible").isNull() | F.col("is_visible")).alias("visible_reviews"))
 
 
 def refresh_targets(catalog: Catalog, threshold: int = 20, limit: int = 0, provider: str = tax.SCAN_PROVIDER) -> DataFrame:

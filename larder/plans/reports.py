@@ -60,8 +60,8 @@ def run_counters(outcomes: DataFrame) -> DataFrame:
     """Found, processed and failed records per run."""
     return outcomes.groupBy("crawl_run_id").agg(
         F.count(F.lit(1)).alias("records_found"),
-        F.count_if("status = 'completed'").alias("records_processed"),
-        F.count_if("status = 'failed'").alias("records_failed"),
+        F.count_if(F.col("status") == "completed").alias("records_processed"),
+        F.count_if(F.col("status") == "failed").alias("records_failed"),
     )
 
 
