@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["search_checks", "catalog_checks", "enrich_checks"]
+_MODULES = ["search_checks", "catalog_checks", "enrich_checks", "recommend_checks", "ingest_checks"]
 
 
 def load_all() -> dict:

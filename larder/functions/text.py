@@ -99,7 +99,7 @@ def nfkc(text: Column | str) -> Column:
     single = {k: v for k, v in compat.items() if len(v) == 1}
     longer = {k: v for k, v in compat.items() if len(v) > 1}
     plain = F.translate(text, "".join(single), "".join(single.values()))
-    letters = "[" + "".join(longer) + "]"
+    letters = _letter_class(longer)
     long_table = _table(longer)
     # Cut around the few letters that need work; everything else stays whole.
     expanded = F.array_join(
@@ -132,6 +132,17 @@ def _composed(run: Column) -> Column:
     )
 
 
+def _letter_class(letters) -> str:
+    """Character class made of ranges; a long list of single letters is slow to test."""
+    codes, parts, start = sorted(map(ord, letters)), [], None
+    for i, code in enumerate(codes):
+        start = code if start is None else start
+        if i + 1 == len(codes) or codes[i + 1] != code + 1:
+            parts.append(f"\\u{start:04x}-\\u{code:04x}")
+            start = None
+    return "[" + "".join(parts) + "]"
+
+
 def _table(entries: dict[str, str]) -> Column:
     """A constant map; the JSON text is folded to one literal when the plan is made."""
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
