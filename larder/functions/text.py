@@ -93,8 +93,20 @@ def collapse(text: Column | str) -> Column:
 
 
 def nfkc(text: Column | str) -> Column:
-    """Compatibility composition; rows of plain text skip the per-letter work."""
+    """Compatibility composition; text made of stable letters passes through as it is."""
     text = _col(text)
+    return F.when(text.rlike(_unstable()), _nfkc(text)).otherwise(text)
+
+
+@lru_cache(maxsize=None)
+def _unstable() -> str:
+    """Class of letters outside the Latin blocks, or that the composed form changes."""
+    blocks = [*range(0x0, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2020), *range(0x4E00, 0xA000)]
+    stable = [chr(c) for c in blocks if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+    return "[^" + _letter_class(stable)[1:]
+
+
+def _nfkc(text: Column) -> Column:
     compat = _compat_map()
     single = {k: v for k, v in compat.items() if len(v) == 1}
     longer = {k: v for k, v in compat.items() if len(v) > 1}
@@ -166,12 +178,15 @@ def panel_key(text: Column | str) -> Column:
 
 
 def ascii_phrase(words: list[str]) -> str:
-    """One alternation matching any of `words` as a whole ASCII word or phrase.
+    """One pattern matching any of `words` as a whole ASCII word or phrase.
 
-    "^" anchors a phrase at the start, "$" at the end.
+    "^" anchors a phrase at the start, "$" at the end.  Plain phrases share one pair of
+    boundaries, so a position is tested once and not once per phrase.
     """
-    parts = []
-    for word in words:
+    special = [w for w in words if w.startswith(("^", "(")) or w.endswith(("$", "!"))]
+    plain = [w for w in words if w not in special]
+    parts = [f"{ASCII_START}(?:{'|'.join(plain)}){ASCII_END}"] if plain else []
+    for word in special:
         start = "" if word.startswith("^") else ASCII_START
         end = "" if word.endswith(("$", "!")) else ASCII_END
         parts.append(f"{start}{word}{end}")
