@@ -15,7 +15,7 @@ from larder.operators import lookups
 from larder.operators.contains import contains_pairs
 from larder.operators.geo_join import within_radius
 from larder.operators.trigram_join import similar_pairs
-from larder.plans import audit, documents, enrich, repair
+from larder.plans import audit, documents, enrich, listings, repair
 
 
 def cat(spark, sf, *names):
@@ -535,3 +535,76 @@ def field_coverage(spark, sf):
     flags = F.to_json(F.struct(F.struct((F.col("value") > 5).alias("rating"), (F.col("event_id") % 4).alias("images")).alias("extracted")))
     rows = audit.field_coverage(views.raw(spark, sf, "events").withColumn("raw_data", flags), ["event_type"], ["rating", "images"])
     return rows.select("event_type", "sources", F.round("rating", 6).alias("rating"), F.round("images", 6).alias("images"))
+
+
+# --- remaining columns -----------------------------------------------------------------
+
+
+@check(
+    "X2_X23_match_key",
+    "SELECT doc_id, md5(trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '\\s+', ' ', 'g'))) AS k, CASE doc_id % 5 WHEN 1 THEN 'bình dân' WHEN 2 THEN 'trung bình' WHEN 3 THEN 'khá cao' WHEN 4 THEN 'cao cấp' END AS price FROM documents",
+)
+def match_key(spark, sf):
+    rows = views.raw(spark, sf, "documents")
+    price = documents.price_phrase((F.col("doc_id") % 5).cast("int"))
+    return rows.select("doc_id", F.md5(tx.match_key("text")).alias("k"), price.alias("price"))
+
+
+@check(
+    "X12_stable_external_id",
+    views.duck("place", "location")
+    + """SELECT place.id, 'gmaps_' || left(sha256(lower(concat_ws('|', name, address_line, CAST(lat AS STRING), CAST(lon AS STRING)))), 32) AS external_id
+  FROM place JOIN location ON location.id = location_id""",
+)
+def stable_external_id(spark, sf):
+    c = cat(spark, sf, "place", "location")
+    rows = c.place.select("id", "name", "location_id").join(
+        c.location.select(F.col("id").alias("location_id"), "address_line", F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("at")), "location_id"
+    )
+    return rows.select("id", scan.stable_external_id(F.col("name"), F.col("address_line"), F.col("at")).alias("external_id"))
+
+
+@check(
+    "U6_F16_photos",
+    """WITH i AS (SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'https://lh3.googleusercontent.com/p/' || (event_id % 30) || '=w80-h60-k' WHEN 1 THEN 'https://x.example/' || (event_id % 9)
+    WHEN 2 THEN 'https://maps.gstatic.com/' || event_id WHEN 3 THEN 'https://lh3.googleusercontent.com/p/' || (event_id % 30) || '=s99' ELSE 'https://u.example/a/B' || event_id END AS url,
+    CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS alt FROM events),
+  base AS (SELECT user_id, event_id, alt, CASE WHEN contains(url, 'googleusercontent.com') THEN regexp_replace(url, '=[^/?]+$', '') ELSE url END AS url FROM i WHERE event_id % 5 IN (0, 1, 3)),
+  one AS (SELECT user_id, url, min(event_id) AS at_event, arg_min(alt, event_id) FILTER (WHERE alt <> '') AS alt FROM base GROUP BY user_id, url)
+  SELECT user_id, string_agg(url || '~' || coalesce(alt, ''), ' ' ORDER BY at_event) AS photos FROM one GROUP BY user_id""",
+)
+def photos(spark, sf):
+    e = views.raw(spark, sf, "events")
+    host, k = F.lit("https://lh3.googleusercontent.com/p/"), F.col("event_id") % 5
+    thirty = (F.col("event_id") % 30).cast("string")
+    url = (
+        F.when(k == 0, F.concat(host, thirty, F.lit("=w80-h60-k"))).when(k == 1, F.concat(F.lit("https://x.example/"), (F.col("event_id") % 9).cast("string")))
+        .when(k == 2, F.concat(F.lit("https://maps.gstatic.com/"), F.col("event_id").cast("string"))).when(k == 3, F.concat(host, thirty, F.lit("=s99")))
+        .otherwise(F.concat(F.lit("https://u.example/a/B"), F.col("event_id").cast("string")))
+    )
+    alt = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.col("event_type"))
+    image = F.struct("event_id", F.struct(url.alias("url"), alt.alias("alt_text")).alias("i"))
+    rows = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(image)), lambda x: x["i"]).alias("images"))
+    shown = F.transform(scan.photos(F.col("images")), lambda i: F.concat(i["url"], F.lit("~"), F.coalesce(i["alt_text"], F.lit(""))))
+    return rows.select("user_id", F.array_join(shown, " ").alias("photos")).filter("photos <> ''")
+
+
+@check(
+    "W5_first_category",
+    views.duck("place_category", "category")
+    + "SELECT place_id, min(name) AS category FROM place_category JOIN category ON category.id = category_id WHERE is_active GROUP BY place_id",
+)
+def first_category(spark, sf):
+    return listings.first_category(cat(spark, sf, "place_category", "category"))
+
+
+@check(
+    "F25_X27_dish_text",
+    views.duck("dish", "place")
+    + f"""SELECT dish.id FROM dish JOIN place ON place.id = place_id WHERE dish.name ILIKE '%BO%' OR dish.normalized_name ILIKE '%BO%' OR replace({duck.fold('dish.name')}, 'đ', 'd') LIKE '%bo%'
+  OR dish.description ILIKE '%BO%' OR place.name ILIKE '%BO%'""",
+)
+def dish_text(spark, sf):
+    c = cat(spark, sf, "dish", "place")
+    named = c.place.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"))
+    return c.dish.join(named, "place_id").filter(listings.dish_matches("BO")).select("id")
