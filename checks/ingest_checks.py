@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from checks import duck, views
@@ -12,7 +10,7 @@ from larder import schemas, taxonomy as tax
 from larder.catalog import empty_catalog
 from larder.operators import upsert
 from larder.operators.leaders import assign_leaders
-from larder.operators.lineage import cut
+from larder.operators.lineage import cut, shared_folder
 from larder.plans import ingest, refresh
 from larder.sources import scans, sinks
 from larder.streaming import landing
@@ -369,7 +367,7 @@ def discover(spark, sf):
 
 @check("S13_table_sink", views.duck("location") + "SELECT city, count(*) AS n FROM location GROUP BY city")
 def table_sink(spark, sf):
-    path = tempfile.mkdtemp(prefix="larder-sink-")
+    path = shared_folder(spark, "sink")
     sinks.write_table(views.frame(spark, sf, "location"), path, ["city"])
     return spark.read.parquet(path).groupBy("city").agg(F.count(F.lit(1)).alias("n"))
 
@@ -377,7 +375,7 @@ def table_sink(spark, sf):
 @check("Z1_Z2_stream_once", _ERROR + " SELECT provider AS provider_code, external_id, count(DISTINCT ts) > 0 AS seen FROM r GROUP BY provider, external_id")
 def stream_once(spark, sf):
     """Every record landed twice; the stream lets each through once."""
-    root = tempfile.mkdtemp(prefix="larder-stream-")
+    root = shared_folder(spark, "stream")
     rows = records(spark, sf)
     for copy in ("a", "b"):
         rows.write.mode("append").json(f"{root}/in")

@@ -1,21 +1,34 @@
-"""Cutting lineage where a job loops."""
+"""Cutting lineage where a job loops, in a folder every executor can reach."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`.
+
+    A machine-local folder is used only when the whole session is one machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="larder-checkpoint-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared root."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in `spark.checkpoint.dir`."""
-    spark = rows.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint; later plans start from a scan of it."""
+    context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="larder-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(rows.sparkSession))
     return rows.checkpoint(eager=True)
