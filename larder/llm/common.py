@@ -53,3 +53,11 @@ def drop_scratch(spark: SparkSession) -> None:
 def stop_split(spark: SparkSession, rows: int, per_task: int) -> int:
     """Shuffle partitions for `rows` at `per_task` each, never under the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // per_task))
+
+
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker process, for values that are dear to compute."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_larder_process_cache", types.ModuleType("_larder_process_cache"))).setdefault(name, {})

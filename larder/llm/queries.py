@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import exact_dedup
+from larder.llm import exact_dedup, packing
 from larder.llm.common import read
 
 
+def public_tokenizer(name: str) -> str:
+    """Where the environment keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -20,6 +31,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.norm) AS
 """
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
