@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import exact_dedup, packing
+from larder.llm import exact_dedup, langid, packing, pieces, toxicity
 from larder.llm.common import read
 
 
@@ -15,14 +15,28 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(read(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -31,8 +45,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.norm) AS
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_pieces": op3_pieces,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
