@@ -115,7 +115,7 @@ class Lexicon:
         for _, _, found in hits:
             counts[found] = counts.get(found, 0) + 1
         total = sum(self.weights[w] * (1 + math.log(n)) for w, n in counts.items())
-        return total / math.log(math.e + words / 100), len(hits)
+        return total / (1 + math.log1p(words / 1000) / 4), len(hits)
 
     def score(self, raw: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * raw))))
