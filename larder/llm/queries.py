@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, langid, packing, pieces, toxicity, warc
+from larder.llm import exact_dedup, langid, neighbours, packing, pieces, toxicity, warc
 from larder.llm.common import read
 
 
@@ -28,6 +29,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_pieces": op3_pieces,
+    "op5_neighbours": op5_neighbours,
     "op6_warc": op6_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_language_id": op10_language_id,
