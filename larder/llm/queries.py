@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, langid, neighbours, packing, pieces, toxicity, warc
+from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, pieces, toxicity, warc
 from larder.llm.common import read
 
 
@@ -52,6 +52,28 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), l AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingles FROM w
+), s AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM l),
+linked AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, linked.y FROM reach JOIN linked ON reach.other = linked.x
+)
+SELECT l.doc_id, len(l.shingles) AS n_shingles, min(reach.other) AS component_id FROM l JOIN reach USING (doc_id) GROUP BY ALL
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -71,9 +93,11 @@ QUERIES = {
     "op5_neighbours": op5_neighbours,
     "op6_warc": op6_warc,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_ngram_join": OP9_SQL,
 }
