@@ -303,9 +303,9 @@ def _pairs(similarity: int):
 _BITMAP_BITS = 24
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
     """A filter of fixed size with the bit of every key; it lets all of them pass, and few others while they are few."""
-    bit = F.col("row_key").bitwiseAND((1 << _BITMAP_BITS) - 1)
+    bit = F.col(column).bitwiseAND((1 << _BITMAP_BITS) - 1)
     words = keys.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(63).cast("int").alias("bit"))
     out = np.zeros(1 << (_BITMAP_BITS - 6), np.uint64)
     for r in words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect():
@@ -333,7 +333,7 @@ def whole_sets(docs: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame
     """(node, shingles) of the wanted nodes, from a second reading of the texts."""
     wanted = nodes.distinct()
     rows = facts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(rows))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(rows, "row_key"))
     found = docs.select("row_key", "text").mapInArrow(_sets(bitmap), "node long, shingles binary")
     return written(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
@@ -354,15 +354,17 @@ def _verify(similarity: int):
     return run
 
 
-#: Copies of a set that many others are compared with.
-_SALT = 16
+#: Comparisons with one set that go to one task; a set with more partners is sent to several.
+PARTNERS = 256
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; a set with many partners is spread over tasks."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"), F.explode(F.array(*map(F.lit, range(_SALT)))).alias("salt"))
+    many = pairs.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") > PARTNERS).select("a", F.ceil(F.col("_n") / PARTNERS).cast("int").alias("shares"))
+    shares = F.coalesce("shares", F.lit(1))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")).join(many, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-    rows = pairs.select("a", "b").join(two, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALT)).cast("int")).join(one, ["a", "salt"])
+    rows = pairs.select("a", "b").join(many, "a", "left").withColumn("share", F.pmod(F.xxhash64("b"), shares).cast("int")).join(two, "b").join(one, ["a", "share"])
     return written(rows.select("a", "b", "one", "two").mapInArrow(_verify(similarity), "a long, b long"), "links")
 
 

@@ -37,7 +37,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def word_hashes(text: str) -> np.ndarray:
     """One hash for each word, A-Z lower-cased, words between ASCII white space."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    return words_of(np.frombuffer(text.encode(), np.uint8))[0]
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and the bytes at which they start and end."""
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + _PART)
@@ -53,9 +57,11 @@ def word_hashes(text: str) -> np.ndarray:
         starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
         sums = np.zeros(end - at + 1, np.uint64)
         np.cumsum(byte[data[at:end]] * up[: end - at], out=sums[1:])
-        parts.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        parts.append((mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts + at, ends + at))
         at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
