@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, pieces, toxicity, warc
+from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, toxicity, warc
 from larder.llm.common import read
 
 
@@ -29,6 +29,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paragraph_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_pieces": op3_pieces,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_neighbours": op5_neighbours,
     "op6_warc": op6_warc,
     "op8_exact_dedup": op8_exact_dedup,
