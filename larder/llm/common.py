@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from larder.operators.lineage import shared_folder
 SPACES = r"[\x20\x09-\x0D]+"
 
 _scratch: dict[str, list[str]] = {}
+_scope: list[str] = [""]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,21 +34,31 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: `rows` as a table in the folder that all executors share."""
     spark = rows.sparkSession
-    folder = shared_folder(spark, name)
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    folder = scratch_path(spark, name)
     rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, noted under the current scope."""
     folder = shared_folder(spark, name)
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    _scratch.setdefault(_scope[-1], []).append(folder)
     return folder
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables of earlier jobs; call it only when their results are written."""
-    for folder in _scratch.pop(spark.sparkContext.applicationId, []):
+@contextmanager
+def scratch_scope(name: str):
+    """Scratch tables made meanwhile belong to `name`."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def drop_scratch(spark: SparkSession, scope: str) -> None:
+    """Deletes the scratch tables of a scope; call it only when the results made from them are written."""
+    for folder in _scratch.pop(scope, []):
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

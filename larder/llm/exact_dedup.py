@@ -192,3 +192,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(found, "rep_no").select(
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
+
+
+def first_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `exact_groups` keeps: one of each group of equal texts."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    normal = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
+    same = F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha"))
+    return docs.withColumn("_own", normal).join(kept, same, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")

@@ -413,14 +413,8 @@ def _blocks(large: DataFrame, facts: DataFrame, similarity: int, group: int) ->
     return rows.join(pairs, ["key", "block"]).select("key", "one", "two", "side", "node", "component")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, sketch_bits: int = SKETCH_BITS, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row.
-
-    Rows link when 100 * shared >= `similarity` * all of their distinct five-word shingles; a row's
-    component is the smallest doc_id that links reach. A row without words, or with a null text,
-    has no shingles and is its own component. Rows that repeat a text are linked with each other;
-    a null doc_id is never a component's id while another one is there. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketch_bits: int, group: int) -> DataFrame:
+    """(row_key, doc_id, n, component_id, keep_row): the last is the row of each component that stays."""
     spark = docs.sparkSession
     docs = documents(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "doc_id", "text")
     levels = spark.sparkContext.broadcast(frequency_levels(docs, sketch_bits))
@@ -463,10 +457,32 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = links.unionByName(verified(rest, sets, similarity))
     labels = components(links)
 
-    by_node = facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("row_key").alias("row"))
+    by_node = facts.filter("node is not null").groupBy("node").agg(F.min(order).alias("first"))
     by_node = by_node.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by_component = by_node.groupBy("component").agg(F.min("doc").alias("component_id"))
-    found = by_node.join(by_component, "component").select("node", "component_id")
+    by_component = by_node.groupBy("component").agg(F.min("first").alias("first"))
+    found = by_node.select("node", "component").join(by_component, "component").select("node", "first")
+    lone = F.col("node").isNull()
     return facts.join(found, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "row_key", "doc_id", "n", F.when(lone, F.col("doc_id")).otherwise(F.col("first.doc")).alias("component_id"), F.when(lone, F.col("row_key")).otherwise(F.col("first.row")).alias("keep_row")
     )
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, sketch_bits: int = SKETCH_BITS, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per input row.
+
+    Rows link when 100 * shared >= `similarity` * all of their distinct five-word shingles; a row's
+    component is the smallest doc_id that links reach. A row without words, or with a null text,
+    has no shingles and is its own component. Rows that repeat a text are linked with each other;
+    a null doc_id is never a component's id while another one is there. An empty table gives no rows.
+    """
+    rows = _grouped(docs, id_col, text_col, similarity, sketch_bits, group)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, sketch_bits: int = SKETCH_BITS, group: int = GROUP) -> DataFrame:
+    """The rows of `docs`, with all their columns, that have the smallest doc_id of their component; rows that repeat it stay together."""
+    rows = _grouped(docs, id_col, text_col, similarity, sketch_bits, group)
+    kept = rows.filter(F.col("row_key") == F.col("keep_row")).select(F.col("row_key").alias("_keep")).distinct()
+    own = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_keep"), "left_semi").drop("_own")
