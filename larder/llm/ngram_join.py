@@ -240,29 +240,53 @@ class Trie:
 def group_pairs(key: int, items: list[tuple], similarity: int, sides: list[int] | None = None):
     """Candidate pairs (x, y, shared) whose first shared shingle is `key`; with sides, only across them.
 
-    An item is (node, n, p, last, keys, component).
+    An item is (node, n, p, last, keys, component). Sets that share an earlier shingle meet in that
+    one's group, and sets whose sizes and numbers of keys cannot do are left out of the trie.
     """
-    trie, heads, cut = Trie(), {}, {}
-    for item in items:
+    tails, holders = [], {}
+    for k, item in enumerate(items):
         at = item[4].index(key)
-        heads[item[0]], cut[item[0]] = set(item[4][:at]), item[4][at:]
-
-    def of(item):
-        for other, overlap in trie.partners(item, cut[item[0]], similarity):
-            if heads[item[0]].isdisjoint(heads[other[0]]):
-                yield min(item[0], other[0]), max(item[0], other[0]), overlap
-
-    if sides is None:
-        for item in items:
-            yield from of(item)
-            trie.add(item, cut[item[0]])
-    else:
-        for item, side in zip(items, sides):
-            if side == 0:
-                trie.add(item, cut[item[0]])
-        for item, side in zip(items, sides):
-            if side == 1:
-                yield from of(item)
+        tails.append(item[4][at:])
+        for earlier in item[4][:at]:
+            holders[earlier] = holders.get(earlier, 0) | 1 << k
+    everyone = (1 << len(items)) - 1
+    ones = sum(1 << k for k in range(len(items)) if sides[k]) if sides else 0
+    partners, useful = [], 0
+    for k, item in enumerate(items):
+        met = 0
+        for earlier in item[4][: len(item[4]) - len(tails[k])]:
+            met |= holders[earlier]
+        rest = everyone & ~met & (~ones if (ones >> k) & 1 else ones) if sides else (everyone & ~met & ((1 << k) - 1))
+        partners.append(rest)
+        n, left, last, component = item[1], item[1] - item[2], item[3], item[5]
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            other = items[low.bit_length() - 1]
+            m = other[1]
+            if 100 * min(n, m) < similarity * max(n, m) or (component is not None and component == other[5]):
+                continue
+            beyond = left if last <= other[3] else m - other[2]
+            if min(len(tails[k]), len(tails[low.bit_length() - 1])) + beyond >= least_overlap(n, m, similarity):
+                useful |= low | 1 << k
+    if not useful:
+        return
+    trie, place = Trie(), {item[0]: k for k, item in enumerate(items)}
+
+    def of(k):
+        for other, overlap in trie.partners(items[k], tails[k], similarity):
+            if partners[k] >> place[other[0]] & 1:
+                yield min(items[k][0], other[0]), max(items[k][0], other[0]), overlap
+
+    chosen = [k for k in range(len(items)) if useful >> k & 1]
+    for k in chosen:
+        if sides is None:
+            yield from of(k)
+        if sides is None or not sides[k]:
+            trie.add(items[k], tails[k])
+    for k in chosen if sides else ():
+        if sides[k]:
+            yield from of(k)
 
 
 def _pairs(similarity: int):
