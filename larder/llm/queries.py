@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, toxicity, warc
+from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, suffix_dedup, toxicity, warc
 from larder.llm.common import read
 
 
@@ -42,6 +42,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 OP6_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -98,6 +103,7 @@ QUERIES = {
     "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_neighbours": op5_neighbours,
     "op6_warc": op6_warc,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
