@@ -383,9 +383,11 @@ def saved_lists(spark, sf):
     views.duck("saved", "place")
     + f""", log AS (SELECT user_id, event_id % n AS place_id, CASE WHEN event_type = 'click' THEN 'save' ELSE 'remove' END AS op, event_id AS moment
     FROM events CROSS JOIN (SELECT count(*) AS n FROM customer) WHERE event_type IN ('click', 'error')),
-  last_op AS (SELECT user_id, place_id, arg_max(op, moment) AS op FROM log GROUP BY user_id, place_id)
-  SELECT user_id, place_id FROM saved WHERE NOT EXISTS (SELECT 1 FROM last_op l WHERE l.op = 'remove' AND l.user_id = saved.user_id AND l.place_id = saved.place_id)
-  UNION SELECT user_id, place_id FROM last_op JOIN place ON place.id = place_id WHERE op = 'save' AND status = 'active'""",
+  gone AS (SELECT user_id, place_id, max(moment) AS removed FROM log WHERE op = 'remove' GROUP BY user_id, place_id),
+  kept AS (SELECT user_id, place_id, CAST(epoch(created_at) AS BIGINT) AS created FROM saved ANTI JOIN gone USING (user_id, place_id)),
+  added AS (SELECT user_id, place_id, min(moment) AS created FROM log LEFT JOIN gone USING (user_id, place_id) JOIN place ON place.id = place_id
+    WHERE op = 'save' AND status = 'active' AND (removed IS NULL OR moment >= removed) GROUP BY user_id, place_id)
+  SELECT user_id, place_id, created FROM kept UNION ALL SELECT user_id, place_id, created FROM added ANTI JOIN kept USING (user_id, place_id)""",
 )
 def apply_saves(spark, sf):
     n = views.raw(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n"))
@@ -396,7 +398,8 @@ def apply_saves(spark, sf):
             F.when(F.col("event_type") == "click", "save").otherwise("remove").alias("op"), F.timestamp_seconds("event_id").alias("at"),
         )
     )
-    return listings.apply_saves(views.frame(spark, sf, "saved"), log, cat(spark, sf, "place")).select("user_id", "place_id")
+    rows = listings.apply_saves(views.frame(spark, sf, "saved"), log, cat(spark, sf, "place"))
+    return rows.select("user_id", "place_id", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("created"))
 
 
 @check(
@@ -505,10 +508,11 @@ def coverage_gaps(spark, sf):
     "S8_refresh_targets",
     views.duck("place_source", "data_source", "place", "review")
     + """SELECT s.id AS place_source_id, p.name, coalesce(n, 0) AS visible_reviews FROM place_source s JOIN data_source d ON d.id = data_source_id
-  JOIN place p ON p.id = s.place_id LEFT JOIN (SELECT place_source_id % 1500 + 1000000 AS sid, count(*) FILTER (WHERE is_visible IS NOT FALSE) AS n FROM review GROUP BY 1) r ON r.sid = s.id
+  JOIN place p ON p.id = s.place_id LEFT JOIN (SELECT place_source_id % (SELECT count(*) FROM customer) + 1000000 AS sid, count(*) FILTER (WHERE is_visible IS NOT FALSE) AS n FROM review GROUP BY 1) r ON r.sid = s.id
   WHERE d.code = 'google_maps_playwright' AND s.status = 'active' AND source_url IS NOT NULL AND p.status = 'active' AND coalesce(n, 0) < 1""",
 )
 def refresh_targets(spark, sf):
     c = cat(spark, sf, "place_source", "data_source", "place", "review")
-    linked = c.review.withColumn("place_source_id", F.col("place_source_id") % 1500 + 1000000)
+    n = views.raw(spark, sf, "customer").count()
+    linked = c.review.withColumn("place_source_id", F.col("place_source_id") % n + 1000000)
     return refresh.refresh_targets(c.with_tables(review=linked), 1).select("place_source_id", "name", "visible_reviews")

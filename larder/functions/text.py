@@ -28,6 +28,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def trim(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_col(text), f"^{SPACES}|{SPACES}$", "")
+
+
 @lru_cache(maxsize=None)
 def _fold_map() -> tuple[str, str]:
     """Letters whose canonical decomposition is one base letter plus marks."""
@@ -220,7 +225,7 @@ def letters_key(text: Column | str) -> Column:
 
 def search_terms(text: Column | str, stop_words: list[str], limit: int = 6) -> Column:
     """Distinct words of the folded text, at least two letters, without stop words."""
-    words = F.split(fold(F.trim(_col(text))), r"[^a-z0-9]+")
+    words = F.split(fold(trim(text)), r"[^a-z0-9]+")
     words = F.filter(words, lambda w: F.char_length(w) >= 2)
     stop = F.array(*[F.lit(w) for w in stop_words])
     words = F.filter(words, lambda w: ~F.array_contains(stop, w))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import taxonomy as tax
@@ -17,18 +17,16 @@ PROFILE_CATEGORY_SOURCE = "enrichment:category:ai:v1"
 
 
 def _names(rows: DataFrame, column: str, alias: str, separator: str = ", ") -> DataFrame:
-    """(place_id, alias): distinct names in order, joined; `alias`_over marks lists that
-    cannot fit a document.
+    """(place_id, alias): distinct names in order, joined.
 
-    The length is summed before anything is collected, so only lists that fit in a
-    document are ever gathered for one place.
+    Names that begin beyond the length of a document cannot show in it and are left out
+    before anything is collected, so what is gathered for one place is bounded.
     """
     distinct = rows.select("place_id", F.col(column).alias("n")).filter("n is not null").distinct()
-    size = F.sum(F.char_length("n") + len(separator)) - len(separator)
-    over = distinct.groupBy("place_id").agg((size > tax.DOCUMENT_MAX_CHARS).alias(f"{alias}_over"))
-    fits = distinct.join(over.filter(~F.col(f"{alias}_over")).select("place_id"), "place_id", "left_semi")
-    joined = fits.groupBy("place_id").agg(F.array_join(F.array_sort(F.collect_list("n")), separator).alias(alias))
-    return over.join(joined, "place_id", "left")
+    before = Window.partitionBy("place_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum(F.char_length("n") + len(separator)).over(before), F.lit(0))
+    shown = distinct.withColumn("_begins", begins).filter(F.col("_begins") <= tax.DOCUMENT_MAX_CHARS)
+    return shown.groupBy("place_id").agg(F.array_join(F.array_sort(F.collect_list("n")), separator).alias(alias))
 
 
 def review_excerpts(review: DataFrame, most: int = tax.DOCUMENT_REVIEWS, chars: int = tax.DOCUMENT_REVIEW_CHARS) -> DataFrame:
@@ -68,26 +66,21 @@ def document_inputs(catalog: Catalog) -> DataFrame:
     )
 
 
-def _document(c: dict[str, Column], over: dict[str, Column], limit: int) -> Column:
+def _document(c: dict[str, Column], limit: int) -> Column:
     def part(label: str, value: Column) -> Column:
         return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{label}: "), tx.valid_text(value)))
 
-    def listed(label: str, name: str) -> Column:
-        # A list longer than the whole document stands for itself by its length only.
-        too_long = F.when(over[name], F.repeat(F.lit("x"), F.lit(limit + 1)))
-        return F.coalesce(too_long, part(label, c[name]))
-
     parts = F.array_compact(
         F.array(
-            F.trim(tx.valid_text(c["name"])),
+            tx.trim(tx.valid_text(c["name"])),
             part("profile", c["profile"]),
-            listed("categories", "categories"),
-            listed("dishes", "dishes"),
-            listed("attributes", "attributes"),
+            part("categories", c["categories"]),
+            part("dishes", c["dishes"]),
+            part("attributes", c["attributes"]),
             F.when(F.size(c["reviews"]) > 0, F.concat(F.lit("reviews: "), F.array_join(c["reviews"], "; "))),
             part("location", F.concat_ws(", ", F.nullif(c["district"], F.lit("")), F.nullif(c["city"], F.lit("")))),
             F.when(c["price_level"].isNotNull(), F.concat(F.lit("price level: "), c["price_level"].cast("string"), F.lit("/4"))),
-            F.concat(F.lit("normalized name: "), F.trim(tx.valid_text(c["normalized_name"]))),
+            F.concat(F.lit("normalized name: "), tx.trim(tx.valid_text(c["normalized_name"]))),
         )
     )
     folded = F.aggregate(
@@ -107,8 +100,7 @@ def _append(state: Column, piece: Column, limit: int) -> Column:
 def with_documents(inputs: DataFrame, limit: int = tax.DOCUMENT_MAX_CHARS) -> DataFrame:
     """Adds `document`: labelled parts in order, cut off before the first that overflows."""
     names = ["name", "profile", "categories", "dishes", "attributes", "reviews", "district", "city", "price_level", "normalized_name"]
-    over = {n: F.coalesce(F.col(f"{n}_over"), F.lit(False)) for n in ("categories", "dishes", "attributes")}
-    return inputs.withColumn("document", _document({n: F.col(n) for n in names}, over, limit))
+    return inputs.withColumn("document", _document({n: F.col(n) for n in names}, limit))
 
 
 def content_hash(document: Column, template: str = tax.DOCUMENT_TEMPLATE) -> Column:
@@ -222,7 +214,7 @@ def check_profiles(results: DataFrame, catalog: Catalog) -> DataFrame:
         first.join(slugs, F.col("category") == F.col("slug"), "left")
         .select(
             "place_id",
-            tx.truncate(F.nullif(F.trim("profile"), F.lit("")), tax.PROFILE_MAX_CHARS).alias("profile"),
+            tx.truncate(F.nullif(tx.trim("profile"), F.lit("")), tax.PROFILE_MAX_CHARS).alias("profile"),
             F.when(F.col("known"), F.col("category")).alias("category"),
         )
     )
@@ -232,7 +224,7 @@ def apply_profiles(results: DataFrame, catalog: Catalog, now: Column, refresh: b
     """(`place`, `place_category`) after a profile run; only gaps unless `refresh`."""
     checked = check_profiles(results, catalog)
     given = checked.filter("profile is not null").select(F.col("place_id").alias("id"), "profile")
-    blank = F.col("semantic_profile").isNull() | (F.trim("semantic_profile") == "")
+    blank = F.col("semantic_profile").isNull() | (tx.trim("semantic_profile") == "")
     write = F.col("profile").isNotNull() & (F.lit(refresh) | blank)
     columns = {
         "semantic_profile": F.when(write, F.col("profile")).otherwise(F.col("semantic_profile")),

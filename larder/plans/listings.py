@@ -161,14 +161,15 @@ def saved_lists(saved: DataFrame, catalog: Catalog, limit: int = 12, after: Data
 
 
 def apply_saves(saved: DataFrame, changes: DataFrame, catalog: Catalog) -> DataFrame:
-    """`saved` after a change log (user_id, place_id, op, at): the last change of a pair
-    decides; saving twice keeps the first time; only active places can be saved."""
-    last = changes.groupBy("user_id", "place_id").agg(F.max(F.struct("at", "op")).alias("c")).select("user_id", "place_id", "c.op", "c.at")
-    removed = last.filter("op = 'remove'").select("user_id", "place_id")
+    """`saved` after a change log (user_id, place_id, op, at): a removal ends what was saved
+    before it; saving twice keeps the first time since then; only active places can be saved."""
+    pair = ["user_id", "place_id"]
+    removed = changes.filter("op = 'remove'").groupBy(*pair).agg(F.max("at").alias("removed_at"))
     active = lookups.active_places(catalog.place).select(F.col("id").alias("place_id"))
-    added = last.filter("op = 'save'").join(active, "place_id", "left_semi").select("user_id", "place_id", F.col("at").alias("created_at"))
-    kept = saved.join(removed, ["user_id", "place_id"], "left_anti")
-    fresh = added.join(saved.select("user_id", "place_id"), ["user_id", "place_id"], "left_anti")
+    later = changes.filter("op = 'save'").join(active, "place_id", "left_semi").join(removed, pair, "left")
+    added = later.filter("removed_at is null or at >= removed_at").groupBy(*pair).agg(F.min("at").alias("created_at"))
+    kept = saved.join(removed, pair, "left_anti")
+    fresh = added.join(kept.select(*pair), pair, "left_anti")
     return kept.select("user_id", "place_id", "created_at").unionByName(fresh.select("user_id", "place_id", "created_at"))
 
 

@@ -22,13 +22,22 @@ def read_landing(spark: SparkSession, path: str, file_format: str = "json", file
     return reader.load(path)
 
 
-def deliver_once(records: DataFrame, tolerance: str = "1 day") -> DataFrame:
-    """Repeated deliveries of a record within the tolerance are dropped.
+def deliver_once(records: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes every record once to `folder`, however late or often it is delivered.
 
-    Records without a usable time pass, to be rejected with a message by the ingest.
+    Each micro-batch has a folder of its own, which a replay overwrites; a record is new
+    when no other batch has its key.
     """
-    timed = records.withColumn("event_time", F.coalesce(F.col("collected_at").try_cast("timestamp"), F.current_timestamp()))
-    return timed.withWatermark("event_time", tolerance).dropDuplicatesWithinWatermark(KEY).drop("event_time")
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(KEY)
+        if batch_id > 0:
+            known = batch.sparkSession.read.parquet(folder)
+            known = known.filter(F.col("batch") != batch_id).select(*[F.col(c).alias(f"known_{c}") for c in KEY])
+            same = [F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in KEY]
+            fresh = fresh.join(known, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_ingest(
@@ -38,13 +47,13 @@ def run_ingest(
     checkpoint: str,
     run_prefix: str = "stream",
 ) -> StreamingQuery:
-    """Ingests every micro-batch into the catalog.
+    """Ingests every micro-batch into the catalog; no record is too late.
 
     `load` returns the current catalog version and `commit` writes the next one.  All
     merges are keyed, so a batch that is replayed after a failure changes nothing.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        commit(ingest(batch, load(), f"{run_prefix}-{batch_id}").catalog, batch_id)
+        commit(ingest(batch.dropDuplicates(KEY), load(), f"{run_prefix}-{batch_id}").catalog, batch_id)
 
     return (
         records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

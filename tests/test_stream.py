@@ -20,8 +20,20 @@ def test_stream_ingest(spark, tmp_path):
     def commit(catalog, _):
         versions.append(catalog.with_tables(place=cut(catalog.place), processing_record=cut(catalog.processing_record)))
 
-    records = landing.deliver_once(landing.read_landing(spark, str(tmp_path / "in")))
+    records = landing.read_landing(spark, str(tmp_path / "in"))
     landing.run_ingest(records, lambda: versions[-1], commit, str(tmp_path / "cp")).awaitTermination()
     done = [v for v in versions[1:] if v.place.count()]
     assert done[0].place.count() == 1
     assert done[0].processing_record.first().attempt_count == 1
+
+
+def test_late_records_arrive_once(spark, tmp_path):
+    def land(name, days):
+        rows = [{"provider_code": "feed", "external_id": str(d), "collected_at": f"2024-06-{d:02d}T00:00:00Z", "name": "n"} for d in days]
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+
+    (tmp_path / "in").mkdir()
+    for name, days in (("1.json", [20, 20]), ("2.json", [20, 11, 1]), ("3.json", [1, 21])):
+        land(name, days)
+        landing.deliver_once(landing.read_landing(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(int(r.external_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 11, 20, 21]
