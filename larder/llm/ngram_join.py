@@ -237,86 +237,119 @@ class Trie:
                 stack.append((below, here, after))
 
 
+def able_pairs(items: list[tuple], similarity: int, sides: list[int] | None) -> np.ndarray:
+    """Which pairs of (node, n, p, last, shared keys, component) sizes and numbers of keys allow; each pair once."""
+    n, p, last, keys = (np.array([item[k] for item in items]) for k in (1, 2, 3, 4))
+    larger, smaller = np.maximum(n[:, None], n), np.minimum(n[:, None], n)
+    # beyond the prefix that ends first, at most what is left of its set is shared
+    beyond = np.where(last[:, None] <= last, (n - p)[:, None], n - p)
+    need = -(-similarity * (n[:, None] + n) // (100 + similarity))
+    able = (100 * smaller >= similarity * larger) & (np.minimum(keys[:, None], keys) + beyond >= need)
+    if items[0][5] is not None:
+        component = np.array([item[5] for item in items])
+        able &= component[:, None] != component
+    if sides:
+        side = np.array(sides)
+        return able & (side[:, None] == 1) & (side == 0)
+    return able & np.tri(len(items), k=-1, dtype=bool)
+
+
 def group_pairs(key: int, items: list[tuple], similarity: int, sides: list[int] | None = None):
     """Candidate pairs (x, y, shared) whose first shared shingle is `key`; with sides, only across them.
 
     An item is (node, n, p, last, keys, component). Sets that share an earlier shingle meet in that
     one's group, and sets whose sizes and numbers of keys cannot do are left out of the trie.
     """
-    tails, holders = [], {}
-    for k, item in enumerate(items):
-        at = item[4].index(key)
-        tails.append(item[4][at:])
-        for earlier in item[4][:at]:
-            holders[earlier] = holders.get(earlier, 0) | 1 << k
-    everyone = (1 << len(items)) - 1
-    ones = sum(1 << k for k in range(len(items)) if sides[k]) if sides else 0
-    partners, useful = [], 0
-    for k, item in enumerate(items):
-        met = 0
-        for earlier in item[4][: len(item[4]) - len(tails[k])]:
-            met |= holders[earlier]
-        rest = everyone & ~met & (~ones if (ones >> k) & 1 else ones) if sides else (everyone & ~met & ((1 << k) - 1))
-        partners.append(rest)
-        n, left, last, component = item[1], item[1] - item[2], item[3], item[5]
-        while rest:
-            low = rest & -rest
-            rest ^= low
-            other = items[low.bit_length() - 1]
-            m = other[1]
-            if 100 * min(n, m) < similarity * max(n, m) or (component is not None and component == other[5]):
-                continue
-            beyond = left if last <= other[3] else m - other[2]
-            if min(len(tails[k]), len(tails[low.bit_length() - 1])) + beyond >= least_overlap(n, m, similarity):
-                useful |= low | 1 << k
-    if not useful:
+    starts = [item[4].index(key) for item in items]
+    able = able_pairs([(*item[:4], len(item[4]) - at, item[5]) for item, at in zip(items, starts)], similarity, sides)
+    heads, partners = {}, {}
+    for x, y in np.argwhere(able).tolist():
+        for k in (x, y):
+            if k not in heads:
+                heads[k] = frozenset(items[k][4][: starts[k]])
+        if heads[x].isdisjoint(heads[y]):
+            partners.setdefault(x, set()).add(y)
+    if not partners:
         return
     trie, place = Trie(), {item[0]: k for k, item in enumerate(items)}
+    wanted = sorted(set().union(partners, *partners.values()))
+    tails = {k: items[k][4][starts[k] :] for k in wanted}
 
-    def of(k):
-        for other, overlap in trie.partners(items[k], tails[k], similarity):
-            if partners[k] >> place[other[0]] & 1:
-                yield min(items[k][0], other[0]), max(items[k][0], other[0]), overlap
+    def of(x):
+        for other, overlap in trie.partners(items[x], tails[x], similarity) if x in partners else ():
+            if place[other[0]] in partners[x]:
+                yield min(items[x][0], other[0]), max(items[x][0], other[0]), overlap
 
-    chosen = [k for k in range(len(items)) if useful >> k & 1]
-    for k in chosen:
-        if sides is None:
+    for k in wanted:
+        if not sides:
             yield from of(k)
-        if sides is None or not sides[k]:
+        if not sides or not sides[k]:
             trie.add(items[k], tails[k])
-    for k in chosen if sides else ():
-        if sides[k]:
-            yield from of(k)
+    for k in wanted if sides else ():
+        yield from of(k)
 
 
-def _pairs(similarity: int):
-    """Groups arrive in order of (key, block pair); each holds a bounded number of sets."""
+def _groups(batches, columns: int):
+    """((key, one, two), rows) of each group and pair of blocks; a group holds a bounded number of sets."""
+    now, rows = None, []
+    for batch in batches:
+        plain = [batch.column(k).to_pylist() for k in range(columns)]
+        for row in zip(*plain):
+            if row[:3] != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = row[:3], []
+            rows.append(row[3:])
+    if len(rows) > 1:
+        yield now, rows
+
+
+_WORK = "key long, one long, two long, side int, node long, component long"
+
+
+def _able(similarity: int):
+    """Of rows (key, one, two, side, node, component, n, p, last, shared) those that some other row of the group may be similar to."""
 
     def run(batches):
         import pyarrow as pa
 
-        group, items, sides, out = None, [], [], []
+        names, types, out = [x.split()[0] for x in _WORK.split(", ")], [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2, []
+
+        def made():
+            columns = list(zip(*out)) or [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        for group, rows in _groups(batches, 10):
+            items = [(node, n, p, last, shared, component) for _, node, component, n, p, last, shared in rows]
+            able = able_pairs(items, similarity, [r[0] for r in rows] if group[1] != group[2] else None)
+            some = able.any(axis=0) | able.any(axis=1)
+            out += [(*group, *rows[k][:3]) for k in np.flatnonzero(some)]
+            if len(out) > 50_000:
+                yield made()
+        yield made()
+
+    return run
+
 
-        def close():
-            if len(items) > 1:
-                out.extend(group_pairs(group[0], items, similarity, sides if group[1] != group[2] else None))
+def _pairs(similarity: int):
+    """Candidate pairs of the groups, from rows (key, one, two, side, node, component, n, p, last, keys)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        out = []
 
         def made():
             columns = list(zip(*out)) or [(), (), ()]
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared"])
 
-        for batch in batches:
-            plain = [batch.column(k).to_pylist() for k in range(9)] + [batch.column(9)]
-            for key, one, two, side, node, n, p, last, component, keys in zip(*plain):
-                if (key, one, two) != group:
-                    close()
-                    group, items, sides = (key, one, two), [], []
-                    if len(out) > 100_000:
-                        yield made()
-                items.append((node, n, p, last, keys.as_py(), component))
-                sides.append(side)
-        close()
+        for group, rows in _groups(batches, 10):
+            items = [(node, n, p, last, keys, component) for _, node, component, n, p, last, keys in rows]
+            out.extend(group_pairs(group[0], items, similarity, [r[0] for r in rows] if group[1] != group[2] else None))
+            if len(out) > 100_000:
+                yield made()
         yield made()
 
     return run
@@ -463,10 +496,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketc
     small = kept.filter(F.col("members") <= group).select("key", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).alias("side"), "node", none.alias("component"))
     large = _large_groups(kept, labels, group)
     work = small if large.isEmpty() else small.unionByName(_blocks(large, facts, similarity, group))
-    prefixes = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # bounded by the set's own prefix
-    about = facts.filter("node is not null").select("node", "n", "p", "last").dropDuplicates(["node"]).join(prefixes, "node")
     order = ["key", "one", "two", "side"]
-    work = work.join(about, "node").select(*order, "node", "n", "p", "last", "component", "keys")
+    about = facts.filter("node is not null").select("node", "n", "p", "last").dropDuplicates(["node"])
+    shares = members.groupBy("node").agg(F.count("*").alias("shared"))
+    sized = work.join(about.join(shares, "node"), "node").select(*order, "node", "component", "n", "p", "last", "shared")
+    sized = sized.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
+    work = written(sized.mapInArrow(_able(similarity), _WORK), "able")
+    wanted = work.select("node").distinct()
+    prefixes = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # bounded by the set's own prefix
+    work = work.join(about.join(prefixes, "node"), "node").select(*order, "node", "component", "n", "p", "last", "keys")
     work = work.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
     pairs = written(work.mapInArrow(_pairs(similarity), "a long, b long, shared long"), "candidates")
 
