@@ -26,8 +26,8 @@ from larder.llm.shingles import mix
 
 #: Bytes of a string that may not occur twice.
 LENGTH = 400
-#: Different surroundings of a gram that one task compares.
-GROUP = 4096
+#: Different surroundings of a gram that one task compares: with `LENGTH` bytes after and half of it before, 40 MB.
+GROUP = 1 << 16
 #: Bytes of suffixes that one merge holds.
 MERGE_BYTES = 24 << 20
 #: Bytes of suffixes that a task sorts into one run.
@@ -289,18 +289,17 @@ def repeated_starts(suffixes: list[bytes], shared: list[int], befores: list[byte
     order = sorted(range(m), key=befores.__getitem__)
     steps = np.array([0] + [shared_prefix(befores[a], befores[b]) for a, b in zip(order, order[1:])])
     rights = np.array([0] + shared[1:])
-    place = np.empty(m, int)
+    place, hits = np.empty(m, int), np.zeros((reach + 3, m), np.int8)  # a row of zeros at either end
     for distance in range(reach + 1):
-        usable = (sizes >= length - distance) & (lefts >= distance)
         place[order] = np.cumsum(steps < distance)
         key = np.cumsum(rights < length - distance) * (m + 1) + place
-        some = np.flatnonzero(usable)
-        _, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
-        for k in some[counts[which] > 1]:
-            if out[k] and out[k][-1][1] == distance - 1:
-                out[k][-1] = out[k][-1][0], distance
-            else:
-                out[k].append((distance, distance))
+        some = np.flatnonzero((sizes >= length - distance) & (lefts >= distance))
+        some = some[np.argsort(key[some], kind="stable")]
+        same = key[some][1:] == key[some][:-1]
+        hits[distance + 1, some[np.r_[False, same] | np.r_[same, False]] if len(some) else some] = 1
+    edges = np.diff(hits, axis=0).T
+    for (k, near), (_, far) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist()):
+        out[k].append((near, far - 1))
     return out
 
 
