@@ -7,7 +7,8 @@ normalised by the text's length, and a logistic curve turns the sum into a score
 
 Weights, exceptions and the curve are learned from a bounded sample of labelled rows
 (`PER_LABEL` of each label, expected number, chosen by a hash of the id). A lexicon word has to
-occur among many different neighbours in toxic texts, so that copies of one text do not make words.
+occur among many different neighbours in toxic texts, and equal folded texts count once, so that
+copies of one text neither make words nor unmake them. The curve is fitted to all rows.
 """
 
 from __future__ import annotations
@@ -215,6 +216,23 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     return texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
 
+def _folded_keys(batches):
+    """(key, text, toxic): the key is a hash of the folded text."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        keys = [hashlib.sha256(fold(text.as_py())[0].encode("utf-8", "surrogatepass")).digest() for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), batch.column(1)], ["key", "text", "toxic"])
+
+
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """(text, toxic), one row for all that fold to the same text; with both labels it is toxic."""
+    keyed = sample.mapInArrow(_folded_keys, "key binary, text string, toxic int")
+    return keyed.groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
+
 def _exceptions(around: DataFrame) -> list[str]:
     """Pairs of a lexicon word and a neighbour that are clean as a rule; a pair with the word before goes first."""
     found: list[str] = []
@@ -233,14 +251,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Lex
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon(base=30.0 if toxic else -30.0)
-    words = sample.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    texts = written(distinct_texts(sample), "texts")
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    words = texts.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     weight = F.log(a / (toxic + 1 - a + 0.5)) - F.log(b / (clean + 1 - b + 0.5))
     least = max(3, toxic // 400)
     found = words.filter(F.col("toxic") >= least).withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / a + 1 / b))
     found = found.filter((F.col("weight") > 1.0) & (F.col("z") > 3)).orderBy(F.desc("z"), "word").limit(LEXICON_WORDS)
     candidates = {r["word"]: r for r in found.collect()}
-    around = sample.mapInArrow(_contexts(dict.fromkeys(candidates, 1)), "word string, left string, right string, toxic long, clean long")
+    around = texts.mapInArrow(_contexts(dict.fromkeys(candidates, 1)), "word string, left string, right string, toxic long, clean long")
     around = written(around.groupBy("word", "left", "right").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "contexts")
     toxic_only = around.filter(F.col("toxic") > 0)
     variety = toxic_only.groupBy("word").agg(F.count("*").alias("contexts"), F.sum("toxic").alias("n")).collect()

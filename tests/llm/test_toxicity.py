@@ -49,6 +49,18 @@ def test_held_out_labels_teach_nothing(spark):
     assert toxicity.train(frame, marks) == toxicity.train(frame, other)
 
 
+def test_copies_of_a_toxic_text_unmake_no_words(spark):
+    docs, labels = _corpus(6)
+    copied = "wertha grobble onis snarf thatea vexwit ingou"
+    docs += [(10_000 + i, copied if i % 2 else copied.upper() + "!", "en", 0.0) for i in range(600)]
+    labels += [(10_000 + i, 1, 1) for i in range(600)]
+    frame = spark.createDataFrame(docs, DOCS).repartition(4)
+    lexicon = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int, text int"))
+    assert set(lexicon.weights) == {"grobble", "snarf", "vexwit"}
+    out = {r.doc_id: r.predicted for r in toxicity.score(frame, lexicon).collect()}
+    assert all(out[i] == t for i, t, _ in labels)
+
+
 def test_without_labels(spark):
     frame = spark.createDataFrame([(1, "grobble", "en", 0.0)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
