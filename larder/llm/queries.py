@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, suffix_dedup, toxicity, warc
+from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, suffix_dedup, token_counts, toxicity, warc
 from larder.llm.common import read
 
 
@@ -89,6 +89,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES = {
     "op6_warc": OP6_SQL,
