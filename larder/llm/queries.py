@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, suffix_dedup, token_counts, toxicity, warc
+from larder.llm import conversations, exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, suffix_dedup, token_counts, toxicity, warc
 from larder.llm.common import read
 
+#: SQL for crc32: the table `crc_table(t)`, and the checksum of a list of bytes `b` where `t` is in reach.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+)"""
+CRC = "xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
 
 def public_tokenizer(name: str) -> str:
     """Where the environment keeps a public vocabulary file."""
@@ -89,6 +96,71 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(read(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT) AS b
+  FROM conversations
+), coded AS (SELECT conv_id, turn, role, text, {CRC} % 20 AS code FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM coded WHERE code <> 0
+), sorted AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged
+), placed AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS role_before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM sorted
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (role_before IS NOT NULL AND left(role_before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM placed GROUP BY conv_id
+), ways(state, k, here, added) AS (VALUES
+  (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+  (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+  (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']),
+  (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:'])
+), walk(conv_id, pos, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM counted
+  UNION ALL
+  SELECT conv_id, pos, after, cost, audit, lines FROM (
+    SELECT conv_id, pos, after, cost + 3 * k + price AS cost, audit || repeat('I', k) || letter AS audit,
+      lines || added || CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+        ELSE [CASE after WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END AS lines
+    FROM (
+      SELECT w.conv_id, p.pos, w.cost, w.audit, w.lines, v.k, v.added, p.role, p.text, l.letter,
+        CASE WHEN l.letter = 'D' THEN v.here WHEN p.fault IN ('blank', 'duplicate') THEN NULL
+          WHEN l.letter = 'R' THEN CASE WHEN v.here = 2 THEN 3 ELSE 2 END
+          WHEN left(p.role, 1) = 's' AND v.here = 0 THEN 1 WHEN left(p.role, 1) = 'u' AND v.here <> 2 THEN 2
+          WHEN left(p.role, 1) = 'a' AND v.here = 2 THEN 3 END AS after,
+        CASE l.letter WHEN 'D' THEN 4 ELSE CASE l.letter WHEN 'R' THEN 3 ELSE 0 END + CASE p.fault WHEN 'truncated' THEN 3 ELSE 0 END END AS price
+      FROM walk w JOIN placed p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.pos = w.pos + 1 JOIN ways v ON v.state = w.state
+        CROSS JOIN (VALUES ('D'), ('K'), ('R')) l(letter)
+    ) WHERE after IS NOT NULL
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, pos, after ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT w.conv_id, w.cost + 3 * v.k AS cost, w.audit || repeat('I', v.k) AS audit, array_to_string(w.lines || v.added, chr(10)) AS repaired
+  FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.pos JOIN ways v ON v.state = w.state AND v.here IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 3 * v.k, w.audit || repeat('I', v.k)) = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
 
@@ -111,10 +183,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
 ORACLES = {
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_ngram_join": OP9_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
