@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import conversations, exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, suffix_dedup, token_counts, toxicity, warc
+from larder.llm import conversations, exact_dedup, langid, neighbours, ngram_join, packing, paragraph_dedup, pieces, spelling, suffix_dedup, token_counts, toxicity, warc
 from larder.llm.common import read
 
 #: SQL for crc32: the table `crc_table(t)`, and the checksum of a list of bytes `b` where `t` is in reach.
@@ -96,6 +96,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(read(spark, sf_dir, "documents")))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  GROUP BY ALL
+), bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x)::BIGINT >> 6), 128 + (unicode(x)::BIGINT & 63)] END)) AS b
+  FROM runs WHERE length(run) >= 6
+), hashed AS (SELECT run, n, {CRC} AS h FROM bytes, crc_table),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6
+), shorter AS (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (
+  SELECT x.word, x.n, near.other, o.n AS other_n, count(*) OVER (PARTITION BY x.word) AS n_near
+  FROM near JOIN words x ON x.word = near.word JOIN words o ON o.word = near.other
+  QUALIFY row_number() OVER (PARTITION BY x.word ORDER BY o.n DESC, near.other) = 1
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+), follow(word, root) AS (
+  SELECT word, word FROM words UNION ALL SELECT follow.word, forms.form FROM follow JOIN forms ON forms.word = follow.root WHERE form IS NOT NULL
+)
+SELECT forms.word, form, root, forms.n, n_near, form_n
+FROM forms JOIN (SELECT f.word, f.root FROM follow f JOIN forms l ON l.word = f.root AND l.form IS NULL) r ON r.word = forms.word
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damage_and_repair(read(spark, sf_dir, "conversations"))
 
@@ -183,6 +221,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
@@ -190,5 +229,6 @@ ORACLES = {
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_ngram_join": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op12_conversation_repair": OP12_SQL,
 }
