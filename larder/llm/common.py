@@ -25,6 +25,18 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_names(rows: DataFrame, *stems: str) -> list[str]:
+    """Column names made from `stems` that `rows` does not have yet."""
+    taken = {c.lower() for c in rows.columns}
+    names = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        names.append(stem)
+    return names
+
+
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """Whether crc32 of the id's decimal text is divisible by five (null id: no)."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col

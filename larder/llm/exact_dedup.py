@@ -12,17 +12,22 @@
 
 from __future__ import annotations
 
+import sys
 from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import SPACES, documents, written
+from larder.llm.common import SPACES, documents, free_names, written
 
-#: Content bytes that a map-side table holds before it passes its records on.
+#: Bytes, as Python keeps them, that a map-side table holds before it passes its records on.
 COMBINE_BYTES = 48 << 20
 #: Content bytes of a bucket that one task's table may hold.
 BUCKET_BYTES = 96 << 20
+#: Content bytes of one batch that a table passes on.
+SLICE_BYTES = 4 << 20
+#: Bytes of a table entry beside its content: hash, digest, smallest row, slots.
+ENTRY_BYTES = 400
 _DIGITS = 24
 
 
@@ -49,7 +54,7 @@ class ContentTable:
         slots[at] = e = len(self.contents)
         self.hashes.append(hashed)
         self.contents.append(content)
-        self.size += len(content)
+        self.size += sys.getsizeof(content) + ENTRY_BYTES
         if 3 * len(self.contents) > 2 * len(slots):
             self._grow()
         return e, True
@@ -82,16 +87,31 @@ def _combine(limit: int):
         table, first, next_row = ContentTable(), base, base
         best: list[list] = []  # per entry: smallest doc_id, its row, number of rows, digest
 
-        def flush():
-            n = len(best)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array([b[3] for b in best], pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array([b[1] for b in best], pa.int64()),
-                 pa.array([b[0] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()), pa.array(table.contents, pa.string())],
+        def passed(begin, end):
+            some, none = best[begin:end], pa.nulls(end - begin, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [none, none, pa.array([b[3] for b in some], pa.string()), pa.array(range(first + begin, first + end), pa.int64()), pa.array([b[1] for b in some], pa.int64()),
+                 pa.array([b[0] for b in some], pa.int64()), pa.array([b[2] for b in some], pa.int64()), pa.array(table.contents[begin:end], pa.string())],
                 ["row_no", "doc_id", "text_sha256", "rep_no", "rep_row", "rep_doc", "rows", "content"],
             )
 
-        for batch in batches:
+        def flush():
+            begin = held = 0
+            for e, content in enumerate(table.contents):
+                held += sys.getsizeof(content)
+                if held > SLICE_BYTES:
+                    yield passed(begin, e + 1)
+                    begin, held = e + 1, 0
+            if begin < len(best):
+                yield passed(begin, len(best))
+
+        def slices():
+            """Batches cut where their entries could overfill the table."""
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    yield batch.slice(at, 512)
+
+        for batch in slices():
             docs, shas, reps = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             rows = range(next_row, next_row + len(docs))
             for row, doc, sha, content in zip(rows, docs, shas, batch.column(1)):
@@ -195,8 +215,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def first_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that `exact_groups` keeps: one of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    """The rows of `docs`, with all their columns, that `exact_groups` keeps: one of each group of equal texts.
+
+    Of rows that repeat the doc_id and the text and differ in other columns, any one stays.
+    """
+    own, keep, sha = free_names(docs, "own", "keep", "sha")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
     normal = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha"))
-    return docs.withColumn("_own", normal).join(kept, same, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")
+    same = F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(own) == F.col(sha))
+    return docs.withColumn(own, normal).join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)

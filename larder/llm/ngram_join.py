@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, stop_split, written
+from larder.llm.common import documents, free_names, stop_split, written
 from larder.llm.components import components
 from larder.llm.shingles import mix, shingle_set
 
@@ -545,6 +545,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, sketch_bits: int = SKETCH_BITS, group: int = GROUP) -> DataFrame:
     """The rows of `docs`, with all their columns, that have the smallest doc_id of their component; rows that repeat it stay together."""
     rows = _grouped(docs, id_col, text_col, similarity, sketch_bits, group)
-    kept = rows.filter(F.col("row_key") == F.col("keep_row")).select(F.col("row_key").alias("_keep")).distinct()
-    own = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_keep"), "left_semi").drop("_own")
+    own, keep = free_names(docs, "own", "keep")
+    kept = rows.filter(F.col("row_key") == F.col("keep_row")).select(F.col("row_key").alias(keep)).distinct()
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn(own, key).join(kept, F.col(own) == F.col(keep), "left_semi").drop(own)

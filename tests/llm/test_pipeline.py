@@ -73,3 +73,16 @@ def test_empty_table(spark):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)  # stages read what the one before has written
+
+
+def test_clashing_names_stay(spark):
+    """Columns named like helper columns of the stages come through all filtering stages."""
+    from larder.llm import exact_dedup, ngram_join, paragraph_dedup
+
+    rows = [(k, f"some words of text number {k % 3} and more of them here", "a", "b", "c") for k in range(6)]
+    for names in (("own", "keep", "sha"), ("_own", "_keep", "_sha"), ("key", "runs", "passages"), ("row_key", "KEEP", "own_")):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+        for stage in (exact_dedup.first_of_equals, ngram_join.first_of_similar, paragraph_dedup.without_repeats):
+            got = stage(docs)
+            assert got.columns == docs.columns
+            assert {tuple(r)[2:] for r in got.collect()} == {("a", "b", "c")}
