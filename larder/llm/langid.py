@@ -11,9 +11,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +183,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
     sample = counted.filter("bucket is null").select("language", "at", "counts", "pick")
-    fitted = sample.filter(F.col("pick") % CALIBRATION != 0).withColumn("shard", F.xxhash64("pick", F.lit(1)) % shards)
+    fitted = sample.filter(F.col("pick") % CALIBRATION != 0).withColumn("shard", F.pmod(F.xxhash64("pick", F.lit(1)), F.lit(shards)))
     fitted = fitted.groupBy("shard").applyInArrow(_fit(languages, idf), "bucket int, rows long, w array<double>").collect()
     weights = np.zeros((buckets + 1, len(languages)))
     total = sum(r["rows"] for r in fitted if r["bucket"] == buckets) or 1
@@ -224,13 +226,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def determined(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is determined with a probability of `least` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = docs.columns.index(text_col)
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [predict(shared.value, text.as_py()) for text in batch.column(text_at)]
-            yield batch.filter(pa.array([name != UNDETERMINED and p >= least for name, p in found], pa.bool_()))
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:  # only texts go to Python and only flags come back
+            yield pd.Series([name != UNDETERMINED and p >= least for name, p in (predict(shared.value, text) for text in some)], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(F.pandas_udf(known, "boolean")(F.col(text_col)))
