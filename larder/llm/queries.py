@@ -51,7 +51,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a removed span may cut a character
+    return rows.select("doc_id", text.alias("text"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 OP6_SQL = """
