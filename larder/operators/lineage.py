@@ -27,8 +27,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Reliable checkpoint; later plans start from a scan of it."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(rows.sparkSession))
-    return rows.checkpoint(eager=True)
+    """`rows` as a table in the shared folder; later plans start from a scan of it.
+
+    Unlike a checkpoint's, its scan reads only the columns a plan needs and knows its size, so small tables are
+    broadcast by measure.
+    """
+    folder = shared_folder(rows.sparkSession, "cut")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

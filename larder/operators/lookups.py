@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larder import taxonomy
 from larder.catalog import Catalog
+from larder.operators.lineage import cut
 from larder.operators.topk import first_by
 
 
@@ -106,15 +107,18 @@ def open_at(hours: DataFrame, moments: DataFrame) -> DataFrame:
     )
 
 
-def place_facts(catalog: Catalog) -> DataFrame:
-    """Active places with location and category set: one row per place."""
+def place_facts(catalog: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """Active places with location and category set: one row per place, of those in `ids.place_id` if given."""
+    place = active_places(catalog.place)
+    if ids is not None:
+        place = place.join(ids.select(F.col("place_id").alias("id")), "id", "left_semi")
+        catalog = catalog.with_tables(place_category=catalog.place_category.join(ids, "place_id", "left_semi"))
     location = catalog.location.select(
         F.col("id").alias("location_id"), "formatted_address", "district", "city", "lat", "lon"
     )
     empty = F.array().cast("array<struct<name:string,slug:string>>")
     return (
-        active_places(catalog.place)
-        .select(
+        place.select(
             F.col("id").alias("place_id"), "name", "normalized_name", "location_id",
             "price_level", F.col("rating").cast("double").alias("rating"), "review_count",
             "semantic_profile", "updated_at",
@@ -128,7 +132,15 @@ def place_facts(catalog: Catalog) -> DataFrame:
 
 
 def with_links(rows: DataFrame, catalog: Catalog) -> DataFrame:
-    """Adds cover image and source URL to rows that have `place_id`."""
+    """Adds cover image and source URL to rows that have `place_id`.
+
+    `rows` are a page: written once, their places alone are looked up.
+    """
+    rows = cut(rows)
+    ids = rows.select("place_id").distinct()
+    catalog = catalog.with_tables(
+        image=catalog.image.join(ids, "place_id", "left_semi"), place_source=catalog.place_source.join(ids, "place_id", "left_semi")
+    )
     return rows.join(cover_images(catalog.image), "place_id", "left").join(
         source_urls(catalog), "place_id", "left"
     )
