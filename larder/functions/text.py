@@ -1,16 +1,11 @@
 """Text columns: folding, cleaning, whole-phrase tests, trigram similarity.
 
-All of it is native column expressions, so it stays inside generated code.
-Spark has no Unicode normalisation function; the letter maps below are derived
-from Python's character database by rule and applied with `translate`.
+All of it is column expressions on the JVM, without Python workers.
 """
 
 from __future__ import annotations
 
-import json
 import re
-import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,50 +28,24 @@ def trim(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), f"^{SPACES}|{SPACES}$", "")
 
 
-@lru_cache(maxsize=None)
-def _fold_map() -> tuple[str, str]:
-    """Letters whose canonical decomposition is one base letter plus marks."""
-    source, target = [], []
-    for code in range(0xC0, 0x2C00):
-        letter = chr(code)
-        base = re.sub(MARKS, "", unicodedata.normalize("NFD", letter))
-        if len(base) == 1 and base != letter:
-            source.append(letter)
-            target.append(base)
-    return "".join(source), "".join(target)
-
-
-@lru_cache(maxsize=None)
-def _compat_map() -> dict[str, str]:
-    """Compatibility letters (full width, ligatures, superscripts) -> plain text."""
-    blocks = [(0xA0, 0x180), (0x2000, 0x2190), (0x2460, 0x24F0), (0x3000, 0x3001),
-              (0xFB00, 0xFB07), (0xFF00, 0xFFEF)]
-    plain = {}
-    for low, high in blocks:
-        for code in range(low, high):
-            letter = chr(code)
-            value = unicodedata.normalize("NFKC", letter)
-            if value != letter and unicodedata.category(letter) != "Cn":
-                plain[letter] = value
-    return plain
-
-
-@lru_cache(maxsize=None)
-def _compose_map() -> dict[str, str]:
-    """Letter + combining mark -> composed letter, for Latin, Greek and Cyrillic."""
-    pairs = {}
-    for code in range(0xC0, 0x2000):
-        parts = unicodedata.decomposition(chr(code)).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            pair = chr(int(parts[0], 16)) + chr(int(parts[1], 16))
-            if unicodedata.normalize("NFC", pair) == chr(code):
-                pairs[pair] = chr(code)
-    return pairs
+def _normalised(text: Column, form: str, compatible: bool) -> Column:
+    """Spark has no normalisation function, but ships ICU, whose static methods a column may call; ASCII stays as it is."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(form), text, F.lit(compatible))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), made).otherwise(text)
+
+
+def nfd(text: Column | str) -> Column:
+    """Canonical decomposition."""
+    return _normalised(_col(text), "decompose", False)
+
+
+def nfkc(text: Column | str) -> Column:
+    """Compatibility decomposition, then composition."""
+    return _normalised(_col(text), "compose", True)
 
 
 def strip_marks(text: Column | str) -> Column:
-    source, target = _fold_map()
-    return F.regexp_replace(F.translate(_col(text), source, target), MARKS, "")
+    return F.regexp_replace(nfd(text), MARKS, "")
 
 
 def fold(text: Column | str) -> Column:
@@ -86,85 +55,15 @@ def fold(text: Column | str) -> Column:
 
 def fold_sql(expression: str) -> str:
     """`fold` as a SQL fragment, for callers that assemble SQL text."""
-    source, target = _fold_map()
-    return (
-        f"regexp_replace(translate(lower({expression}), '{source}', '{target}'), "
-        r"'[\\u0300-\\u036f]', '')"
-    )
+    low = f"lower({expression})"
+    form = f"CASE WHEN {low} RLIKE '[^\\\\x00-\\\\x7F]' THEN reflect('com.ibm.icu.text.Normalizer', 'decompose', {low}, false) ELSE {low} END"
+    return f"regexp_replace({form}, '[\\\\u0300-\\\\u036f]', '')"
 
 
 def collapse(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), SPACES, " "))
 
 
-def nfkc(text: Column | str) -> Column:
-    """Compatibility composition; text made of stable letters passes through as it is."""
-    text = _col(text)
-    return F.when(text.rlike(_unstable()), _nfkc(text)).otherwise(text)
-
-
-@lru_cache(maxsize=None)
-def _unstable() -> str:
-    """Class of letters outside the Latin blocks, or that the composed form changes."""
-    blocks = [*range(0x0, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2020), *range(0x4E00, 0xA000)]
-    stable = [chr(c) for c in blocks if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
-    return "[^" + _letter_class(stable)[1:]
-
-
-def _nfkc(text: Column) -> Column:
-    compat = _compat_map()
-    single = {k: v for k, v in compat.items() if len(v) == 1}
-    longer = {k: v for k, v in compat.items() if len(v) > 1}
-    plain = F.translate(text, "".join(single), "".join(single.values()))
-    letters = _letter_class(longer)
-    long_table = _table(longer)
-    # Cut around the few letters that need work; everything else stays whole.
-    expanded = F.array_join(
-        F.transform(
-            F.split(plain, f"(?={letters})|(?<={letters})"), lambda c: F.coalesce(F.element_at(long_table, c), c)
-        ),
-        "",
-    )
-    plain = F.when(plain.rlike(letters), expanded).otherwise(plain)
-    marked = f"(?=[^{MARKS[1:-1]}]{MARKS})|(?<={MARKS})(?!{MARKS})"
-    composed = F.array_join(
-        F.transform(F.split(plain, marked), lambda run: F.when(run.rlike(MARKS), _composed(run)).otherwise(run)), ""
-    )
-    return F.when(plain.rlike(MARKS), composed).otherwise(plain)
-
-
-def _composed(run: Column) -> Column:
-    """One letter and its marks, joined step by step where a composed letter exists."""
-    pair_table = _table(_compose_map())
-    return F.aggregate(
-        F.split(run, ""),
-        F.lit(""),
-        lambda done, c: F.coalesce(
-            F.concat(
-                F.substring(done, F.lit(1), F.greatest(F.char_length(done) - 1, F.lit(0))),
-                F.element_at(pair_table, F.concat(F.right(done, F.lit(1)), c)),
-            ),
-            F.concat(done, c),
-        ),
-    )
-
-
-def _letter_class(letters) -> str:
-    """Character class made of ranges; a long list of single letters is slow to test."""
-    codes, parts, start = sorted(map(ord, letters)), [], None
-    for i, code in enumerate(codes):
-        start = code if start is None else start
-        if i + 1 == len(codes) or codes[i + 1] != code + 1:
-            parts.append(f"\\u{start:04x}-\\u{code:04x}")
-            start = None
-    return "[" + "".join(parts) + "]"
-
-
-def _table(entries: dict[str, str]) -> Column:
-    """A constant map; the JSON text is folded to one literal when the plan is made."""
-    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
-
-
 def clean(text: Column | str) -> Column:
     """Compatibility form, trimmed, runs of white space collapsed."""
     return collapse(nfkc(text))

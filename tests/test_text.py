@@ -1,5 +1,6 @@
 """Text columns against plain Python definitions and worked examples."""
 
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def test_nfkc_matches_unicodedata(spark):
     assert values(spark, texts, tx.nfkc) == [unicodedata.normalize("NFKC", t) for t in texts]
 
 
+def test_normal_forms_of_every_code_point(spark):
+    """Every assigned code point alone and after a letter, and random sequences of marks, against the character database."""
+    rng = random.Random(1)
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = ["".join(points[k : k + 1]) for k in range(0, len(points))]
+    texts += ["a" + m for m in marks] + ["".join(rng.choices(["e", "가", "ᄀ", "ᅡ", "ᆨ", "𑄱", "đ", "ß", *rng.choices(marks, k=3)], k=8)) for _ in range(5000)]
+    rows = spark.createDataFrame([(t, unicodedata.normalize("NFKC", t), unicodedata.normalize("NFD", t)) for t in texts], "t string, c string, d string")
+    wrong = rows.filter((tx.nfkc("t") != F.col("c")) | (tx.nfd("t") != F.col("d")))
+    assert len(texts) > 140_000 and wrong.count() == 0
+
+
 def test_clean(spark):
     assert values(spark, ["  Phở   Bò\t"], tx.clean) == ["Phở Bò"]
 
