@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder import taxonomy as tax
 from larder.catalog import Catalog
+from larder.functions import text as tx
 
 MAX_ATTEMPTS = 5
 
@@ -72,7 +73,7 @@ def query_plan(districts: DataFrame, queries: DataFrame, city: str, limit: int)
     empty district table means the city as a whole.  Both lists are distinct first.
     """
     def ordered(rows: DataFrame, value: str) -> DataFrame:
-        kept = rows.select("position", F.trim("value").alias(value)).filter(F.col(value) != "")
+        kept = rows.select("position", tx.trim("value").alias(value)).filter(F.col(value) != "")
         return kept.groupBy(F.lower(value).alias(f"{value}_key")).agg(
             F.min("position").alias(f"{value}_at"), F.min_by(value, "position").alias(value)
         )

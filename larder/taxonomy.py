@@ -120,7 +120,10 @@ FILTERABLE_CATEGORIES = [
 ]
 
 # --- fixed values: districts --------------------------------------------------
-NUMBERED_DISTRICTS = [f"Quận {n}" for n in range(1, 13)]
+NUMBERED_DISTRICTS = [
+    "Quận 1", "Quận 2", "Quận 3", "Quận 4", "Quận 5", "Quận 6",
+    "Quận 7", "Quận 8", "Quận 9", "Quận 10", "Quận 11", "Quận 12",
+]
 NAMED_DISTRICTS = [
     "Bình Thạnh", "Gò Vấp", "Phú Nhuận", "Tân Bình", "Tân Phú", "Bình Tân",
     "Thủ Đức", "Hóc Môn", "Củ Chi", "Bình Chánh", "Nhà Bè", "Cần Giờ",
@@ -133,8 +136,43 @@ DISTRICT_INFERENCE_ORDER = [
 ]
 # Aliases for numbered districts run from 12 down to 1, Vietnamese before English.
 DISTRICT_ALIASES = [
-    (f"{word} {n}", f"Quận {n}") for n in range(12, 0, -1) for word in ("quận", "district")
-] + [(name.lower(), name) for name in NAMED_DISTRICTS]
+    ("quận 12", "Quận 12"),
+    ("district 12", "Quận 12"),
+    ("quận 11", "Quận 11"),
+    ("district 11", "Quận 11"),
+    ("quận 10", "Quận 10"),
+    ("district 10", "Quận 10"),
+    ("quận 9", "Quận 9"),
+    ("district 9", "Quận 9"),
+    ("quận 8", "Quận 8"),
+    ("district 8", "Quận 8"),
+    ("quận 7", "Quận 7"),
+    ("district 7", "Quận 7"),
+    ("quận 6", "Quận 6"),
+    ("district 6", "Quận 6"),
+    ("quận 5", "Quận 5"),
+    ("district 5", "Quận 5"),
+    ("quận 4", "Quận 4"),
+    ("district 4", "Quận 4"),
+    ("quận 3", "Quận 3"),
+    ("district 3", "Quận 3"),
+    ("quận 2", "Quận 2"),
+    ("district 2", "Quận 2"),
+    ("quận 1", "Quận 1"),
+    ("district 1", "Quận 1"),
+    ("bình thạnh", "Bình Thạnh"),
+    ("gò vấp", "Gò Vấp"),
+    ("phú nhuận", "Phú Nhuận"),
+    ("tân bình", "Tân Bình"),
+    ("tân phú", "Tân Phú"),
+    ("bình tân", "Bình Tân"),
+    ("thủ đức", "Thủ Đức"),
+    ("hóc môn", "Hóc Môn"),
+    ("củ chi", "Củ Chi"),
+    ("bình chánh", "Bình Chánh"),
+    ("nhà bè", "Nhà Bè"),
+    ("cần giờ", "Cần Giờ"),
+]
 
 # --- fixed values: taste words -> canonical taste, in removal order -----------
 TASTE_ALIASES = [

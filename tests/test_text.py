@@ -61,6 +61,10 @@ def test_ratings_and_counts(spark):
     assert dict(zip(cases, values(spark, list(cases), scan.review_count))) == cases
 
 
+def test_any_white_space_is_blank(spark):
+    assert values(spark, ["\t", "\u00a0 \u3000", "\n"], scan.is_area_card) == [True, True, True]
+
+
 def test_name_filters(spark):
     assert values(spark, ["Thành phố Hồ Chí Minh", "Quận 1", "Bún Bò Huế 31", None], scan.is_area_card) == [True, True, False, True]
     cases = [
