@@ -84,6 +84,18 @@ def truncate(spark, sf):
     return views.raw(spark, sf, "documents").select("doc_id", tx.truncate("text", 200).alias("t"))
 
 
+# A match takes the separator after it along in RE2, so neighbours need a second pass there.
+_REMOVED = "regexp_replace({}, '(?i)(^|[^\\pL\\pN])(?:de|der)($|[^\\pL\\pN])', ' \\2', 'g')"
+
+
+@check("X4_phrase_removal", f"SELECT doc_id, {_REMOVED.format(_REMOVED.format(_REMOVED.format('text')))} AS t FROM documents")
+def phrase_removal(spark, sf):
+    text = F.col("text")
+    for phrase in ("der", "de"):
+        text = tx.drop_phrase(text, phrase)
+    return views.raw(spark, sf, "documents").select("doc_id", text.alias("t"))
+
+
 @check("X21_json_fields", "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
     return views.raw(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

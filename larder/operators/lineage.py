@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,15 @@ def shared_root(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="larder-checkpoint-")
+    return _local_root()
+
+
+@lru_cache(maxsize=None)
+def _local_root() -> str:
+    """One folder for the tables of a one-machine process; it goes with the process."""
+    folder = tempfile.mkdtemp(prefix="larder-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
