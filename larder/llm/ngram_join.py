@@ -6,10 +6,12 @@
 2. Shingles with the same sets behind them are one group. In a group the sets' shared prefixes are
    put into a trie; each set walks it, the branches share its overlap so far, and a branch is left
    when its lengths and what remains of the prefixes cannot reach the similarity any more.
-3. A large group is first thinned by comparing its sets with a leader: sets that are known to be
-   connected are not compared again. What is left is split into blocks of bounded size.
-4. Candidates are compared by their whole shingle sets, each set's best candidate first; only
-   candidates that are not yet connected follow.
+3. Before that, each set is compared with a leader of its groups, in a few rounds: sets known to be
+   connected are not paired any more, so copies of one text cost as many comparisons as there are
+   copies. Large groups that still hold several components are split into blocks of bounded size.
+4. Pairs whose parity bits (one for each of many buckets of shingles) differ in more places than
+   similar sets have shingles apart are no candidates. The others are compared by their whole
+   shingle sets, each set's best candidate first; only candidates that are not yet connected follow.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ SIMILARITY = 75
 SKETCH_BITS = 21
 #: Sets of a group that one task compares with each other.
 GROUP = 128
-#: Rounds in which the sets of large groups are compared with a leader.
-LEADER_ROUNDS = 2
+#: Most rounds in which every set is compared with a leader of its groups; they end when one finds no link.
+LEADER_ROUNDS = 4
 _BLOCK = 1 << 15
 
 
@@ -95,7 +97,7 @@ def frequency_levels(docs: DataFrame, bits: int) -> np.ndarray:
 
 # -- prefixes ------------------------------------------------------------------------------------
 
-_PREFIXES = "row_key long, doc_id long, n long, node long, p long, last long, key long"
+_PREFIXES = "row_key long, doc_id long, n long, node long, p long, last long, bits binary, key long"
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -111,6 +113,13 @@ def ordered_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << 58) | (shingles >> np.uint64(6)).astype(np.int64))
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """For each of at least twice as many buckets as shingles, a bit that says whether it holds an odd number of them."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _prefixes(levels, similarity: int):
     def run(batches):
         import pyarrow as pa
@@ -123,22 +132,22 @@ def _prefixes(levels, similarity: int):
                 for text in some.column(2):
                     shingles = shingle_set(text.as_py())
                     n = len(shingles)
-                    node, p, last = None, 0, 0
+                    node, p, last, bits = None, 0, 0, None
                     if n:
                         node, p = node_of(shingles), n - -(-similarity * n // 100) + 1
                         prefix = ordered_keys(shingles, table)[:p]
-                        last = int(prefix[-1])
+                        last, bits = int(prefix[-1]), parity_bits(shingles)
                         if node not in sent:  # equal sets of one task send one prefix
                             sent.add(node)
                             keys.append(prefix)
                             nodes.append(np.full(p, node))
-                    facts.append((n, node, p, last))
+                    facts.append((n, node, p, last, bits))
                 columns = list(zip(*facts))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.nulls(len(facts), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array(c, pa.int64()) for c in columns[:-1]], pa.array(columns[-1], pa.binary()), pa.nulls(len(facts), pa.int64())], names)
                 if keys:
                     size = sum(map(len, keys))
                     none = pa.nulls(size, pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.concatenate(nodes)), none, none, pa.array(np.concatenate(keys))], names)
+                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.concatenate(nodes)), none, none, pa.nulls(size, pa.binary()), pa.array(np.concatenate(keys))], names)
 
     return run
 
@@ -237,8 +246,33 @@ class Trie:
                 stack.append((below, here, after))
 
 
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """Parity bits for `size` bytes of buckets: halves fall together."""
+    words = np.frombuffer(bits, np.uint64)
+    while words.nbytes > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _near_bits(able: np.ndarray, n: np.ndarray, bits: list[bytes], similarity: int) -> None:
+    """Clears the pairs whose parity bits differ in more places than similar sets have shingles apart."""
+    x, y = np.nonzero(able)
+    sizes = np.array([len(b) for b in bits])
+    smaller = np.minimum(sizes[x], sizes[y])
+    apart = n[x] + n[y] - 2 * -(-similarity * (n[x] + n[y]) // (100 + similarity))
+    for size in np.unique(smaller).tolist():
+        of_size = np.flatnonzero(smaller == size)
+        who = np.unique(np.r_[x[of_size], y[of_size]])
+        words = np.stack([_folded(bits[k], size) for k in who])
+        for at in range(0, len(of_size), step := max(1, (1 << 23) // size)):
+            some = of_size[at : at + step]
+            differ = np.bitwise_count(words[np.searchsorted(who, x[some])] ^ words[np.searchsorted(who, y[some])]).sum(axis=1, dtype=np.int64)
+            far = some[differ > apart[some]]
+            able[x[far], y[far]] = False
+
+
 def able_pairs(items: list[tuple], similarity: int, sides: list[int] | None) -> np.ndarray:
-    """Which pairs of (node, n, p, last, shared keys, component) sizes and numbers of keys allow; each pair once."""
+    """Which pairs of (node, n, p, last, shared keys, component, bits) sizes, numbers of keys and parity bits allow; each pair once."""
     n, p, last, keys = (np.array([item[k] for item in items]) for k in (1, 2, 3, 4))
     larger, smaller = np.maximum(n[:, None], n), np.minimum(n[:, None], n)
     # beyond the prefix that ends first, at most what is left of its set is shared
@@ -250,18 +284,21 @@ def able_pairs(items: list[tuple], similarity: int, sides: list[int] | None) ->
         able &= component[:, None] != component
     if sides:
         side = np.array(sides)
-        return able & (side[:, None] == 1) & (side == 0)
-    return able & np.tri(len(items), k=-1, dtype=bool)
+        able &= (side[:, None] == 1) & (side == 0)
+    else:
+        able &= np.tri(len(items), k=-1, dtype=bool)
+    _near_bits(able, n, [item[6] for item in items], similarity)
+    return able
 
 
 def group_pairs(key: int, items: list[tuple], similarity: int, sides: list[int] | None = None):
     """Candidate pairs (x, y, shared) whose first shared shingle is `key`; with sides, only across them.
 
-    An item is (node, n, p, last, keys, component). Sets that share an earlier shingle meet in that
+    An item is (node, n, p, last, keys, component, bits). Sets that share an earlier shingle meet in that
     one's group, and sets whose sizes and numbers of keys cannot do are left out of the trie.
     """
     starts = [item[4].index(key) for item in items]
-    able = able_pairs([(*item[:4], len(item[4]) - at, item[5]) for item, at in zip(items, starts)], similarity, sides)
+    able = able_pairs([(*item[:4], len(item[4]) - at, *item[5:]) for item, at in zip(items, starts)], similarity, sides)
     heads, partners = {}, {}
     for x, y in np.argwhere(able).tolist():
         for k in (x, y):
@@ -308,7 +345,7 @@ _WORK = "key long, one long, two long, side int, node long, component long"
 
 
 def _able(similarity: int):
-    """Of rows (key, one, two, side, node, component, n, p, last, shared) those that some other row of the group may be similar to."""
+    """Of rows (key, one, two, side, node, component, n, p, last, bits, shared) those that some other row of the group may be similar to."""
 
     def run(batches):
         import pyarrow as pa
@@ -320,8 +357,8 @@ def _able(similarity: int):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        for group, rows in _groups(batches, 10):
-            items = [(node, n, p, last, shared, component) for _, node, component, n, p, last, shared in rows]
+        for group, rows in _groups(batches, 11):
+            items = [(node, n, p, last, shared, component, bits) for _, node, component, n, p, last, bits, shared in rows]
             able = able_pairs(items, similarity, [r[0] for r in rows] if group[1] != group[2] else None)
             some = able.any(axis=0) | able.any(axis=1)
             out += [(*group, *rows[k][:3]) for k in np.flatnonzero(some)]
@@ -333,7 +370,7 @@ def _able(similarity: int):
 
 
 def _pairs(similarity: int):
-    """Candidate pairs of the groups, from rows (key, one, two, side, node, component, n, p, last, keys)."""
+    """Candidate pairs of the groups, from rows (key, one, two, side, node, component, n, p, last, bits, keys)."""
 
     def run(batches):
         import pyarrow as pa
@@ -345,8 +382,8 @@ def _pairs(similarity: int):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared"])
 
-        for group, rows in _groups(batches, 10):
-            items = [(node, n, p, last, keys, component) for _, node, component, n, p, last, keys in rows]
+        for group, rows in _groups(batches, 11):
+            items = [(node, n, p, last, keys, component, bits) for _, node, component, n, p, last, bits, keys in rows]
             out.extend(group_pairs(group[0], items, similarity, [r[0] for r in rows] if group[1] != group[2] else None))
             if len(out) > 100_000:
                 yield made()
@@ -428,33 +465,36 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 # -- the join ------------------------------------------------------------------------------------
 
 
-def _large_groups(members: DataFrame, labels: DataFrame | None, group: int) -> DataFrame:
-    """Members of large groups in several components, with blocks of bounded size: (key, node, component, band, block)."""
-    large = members.filter(F.col("members") > group)
+def _open_groups(kept: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the groups that lie in several components, (key, node, n, members, component); a set without links is its own component."""
+    rows = kept.withColumn("component", F.col("node"))
     if labels is not None:
-        large = large.join(labels, "node", "left")
-    else:
-        large = large.withColumn("component", F.lit(None).cast("long"))
-    large = large.withColumn("component", F.coalesce("component", "node"))
-    mixed = large.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter(F.col("_a") != F.col("_b")).select("key")
-    return large.join(mixed, "key", "left_semi")
-
-
-def _leader_links(large: DataFrame, docs: DataFrame, facts: DataFrame, similarity: int, turn: int) -> DataFrame:
-    """Each set of a large group compared with one leader of its groups, the same for as many as possible."""
-    order = F.xxhash64("node", F.lit(turn))
-    leaders = large.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("component").alias("of"))).alias("l"))
-    pairs = large.join(leaders, "key").filter(F.col("component") != F.col("l.of")).groupBy("node").agg(F.min("l").alias("l"))
-    pairs = written(pairs.select(F.col("l.leader").alias("a"), F.col("node").alias("b")), "leaders")
+        rows = kept.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter(F.col("_a") != F.col("_b")).select("key")
+    return rows.join(mixed, "key", "left_semi")
+
+
+def _leader_links(groups: DataFrame, docs: DataFrame, facts: DataFrame, similarity: int, turn: int) -> DataFrame:
+    """Each set compared with one leader of its groups: of those in another component and of a possible size, the one of most of them.
+
+    A group's leader is in even rounds the set that shares most of its prefix with others (of near copies, the one
+    they were made from), in odd rounds a random one, mostly of the group's largest component.
+    """
+    first = -F.col("central") if turn % 2 == 0 else F.lit(0.0)
+    place = F.struct(first.alias("f"), F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("leader"), F.col("component").alias("of"), F.col("n").alias("size"))
+    leaders = groups.groupBy("key").agg(F.min(place).alias("l"))
+    able = (F.col("component") != F.col("l.of")) & (100 * F.least("n", "l.size") >= similarity * F.greatest("n", "l.size"))
+    met = groups.join(leaders, "key").filter(able).groupBy("node", F.col("l.leader").alias("leader")).agg(F.count("*").alias("shared"))
+    pairs = met.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("best"))
+    pairs = written(pairs.select(F.col("best.leader").alias("a"), F.col("node").alias("b")), "leaders")
     sets = whole_sets(docs, facts, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     return verified(pairs, sets, similarity)
 
 
-def _blocks(large: DataFrame, facts: DataFrame, similarity: int, group: int) -> DataFrame:
+def _blocks(large: DataFrame, similarity: int, group: int) -> DataFrame:
     """Pairs of blocks of large groups, (key, one, two, side, node, component): bands of like size, sets of a component together."""
-    sized = large.select("key", "node", "component", "members").join(facts.select("node", "n").dropDuplicates(["node"]), "node")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity))).cast("int")
-    sized = sized.withColumn("band", band).withColumn("bucket", F.pmod(F.xxhash64("component"), F.ceil(F.col("members") / group)).cast("int"))
+    sized = large.withColumn("band", band).withColumn("bucket", F.pmod(F.xxhash64("component"), F.ceil(F.col("members") / group)).cast("int"))
     sizes = sized.groupBy("key", "band", "bucket").agg(F.count("*").alias("_n"))
     sized = sized.join(sizes, ["key", "band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("_n") / group)).cast("int"))
     place = ["key", "band", "bucket", "part"]
@@ -476,35 +516,38 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketc
     docs = documents(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "doc_id", "text")
     levels = spark.sparkContext.broadcast(frequency_levels(docs, sketch_bits))
     rows = written(docs.mapInArrow(_prefixes(levels, similarity), _PREFIXES), "prefixes")
-    facts = rows.filter("key is null").select("row_key", "doc_id", "n", "node", "p", "last")
+    facts = rows.filter("key is null").select("row_key", "doc_id", "n", "node", "p", "last", "bits")
     tokens = rows.filter("key is not null").select("key", "node")
     n_parts = stop_split(spark, tokens.count(), 4_000_000)
     shared = written(tokens.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, _SHARED), "shared")
     members = shared.filter("node is not null").select("key", "node")
     kept = shared.filter("node is null").groupBy("members", "signature").agg(F.min("key").alias("key")).select("key", "members")
-    kept = written(members.join(kept, "key"), "groups")
+    shares = members.groupBy("node").agg(F.count("*").alias("shared"))
+    about = facts.filter("node is not null").select("node", "n", "p", "last", "bits").dropDuplicates(["node"])
+    sizes = about.select("node", "n", "p").join(shares, "node").select("node", "n", F.round(F.col("shared") / F.col("p"), 2).alias("central"))
+    kept = written(members.join(kept, "key").join(sizes, "node").select("key", "node", "n", "central", "members"), "groups")
 
     labels, links = None, None
     for turn in range(LEADER_ROUNDS):
-        large = _large_groups(kept, labels, group)
-        if large.isEmpty():
+        groups = _open_groups(kept, labels)
+        if groups.isEmpty():
+            break
+        found = _leader_links(groups, docs, facts, similarity, turn)
+        if found.isEmpty():
             break
-        found = _leader_links(large, docs, facts, similarity, turn)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    none = F.lit(None).cast("long")
-    small = kept.filter(F.col("members") <= group).select("key", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).alias("side"), "node", none.alias("component"))
-    large = _large_groups(kept, labels, group)
-    work = small if large.isEmpty() else small.unionByName(_blocks(large, facts, similarity, group))
+    groups = written(_open_groups(kept, labels), "open")
+    place = [F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).alias("side")]
+    work = groups.filter(F.col("members") <= group).select("key", *place, "node", "component")
+    work = work.unionByName(_blocks(groups.filter(F.col("members") > group), similarity, group))
     order = ["key", "one", "two", "side"]
-    about = facts.filter("node is not null").select("node", "n", "p", "last").dropDuplicates(["node"])
-    shares = members.groupBy("node").agg(F.count("*").alias("shared"))
-    sized = work.join(about.join(shares, "node"), "node").select(*order, "node", "component", "n", "p", "last", "shared")
+    sized = work.join(about.join(shares, "node"), "node").select(*order, "node", "component", "n", "p", "last", "bits", "shared")
     sized = sized.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
     work = written(sized.mapInArrow(_able(similarity), _WORK), "able")
     wanted = work.select("node").distinct()
     prefixes = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # bounded by the set's own prefix
-    work = work.join(about.join(prefixes, "node"), "node").select(*order, "node", "component", "n", "p", "last", "keys")
+    work = work.join(about.join(prefixes, "node"), "node").select(*order, "node", "component", "n", "p", "last", "bits", "keys")
     work = work.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
     pairs = written(work.mapInArrow(_pairs(similarity), "a long, b long, shared long"), "candidates")
 

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from larder.llm import ngram_join
+from larder.llm.common import written
 from larder.llm.components import components
 
 SCHEMA = "doc_id long, text string, key long, node long, n int"
@@ -103,3 +105,31 @@ def test_components(spark):
     rng.shuffle(edges)
     found = components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
     assert sorted((r.node, r.component) for r in found) == sorted((x, find(x)) for x in nodes)
+
+
+def test_parity_bits_never_part_similar_sets():
+    rng = random.Random(3)
+    for _ in range(300):
+        shared = [rng.getrandbits(64) for _ in range(rng.choice([1, 3, 40, 300]))]
+        sets = [np.array(sorted({*shared, *(rng.getrandbits(64) for _ in range(rng.randrange(len(shared) + 1)))}), np.uint64) for _ in range(2)]
+        one, two = (len(s) for s in sets)
+        similar = 175 * len(np.intersect1d(*sets)) >= 75 * (one + two)
+        able = np.array([[False, True], [False, False]])
+        ngram_join._near_bits(able, np.array([one, two]), [ngram_join.parity_bits(s) for s in sets], 75)
+        assert able[0, 1] or not similar
+
+
+def test_a_group_of_unlike_sets_gives_few_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    made = {}
+
+    def noted(rows, name):
+        out = written(rows, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(40))]), 1, 1, 1) for i in range(200)]
+    found = [tuple(r) for r in ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(4), group=50).collect()]
+    assert sorted(found) == [(i, 96, i) for i in range(200)] and made["candidates"] < 200
