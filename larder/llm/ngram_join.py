@@ -31,7 +31,7 @@ SKETCH_BITS = 21
 #: Sets of a group that one task compares with each other.
 GROUP = 128
 #: Most rounds in which every set is compared with a leader of its groups; they end when one finds no link.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 _BLOCK = 1 << 15
 
 
@@ -474,7 +474,25 @@ def _open_groups(kept: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "key", "left_semi")
 
 
-def _leader_links(groups: DataFrame, docs: DataFrame, facts: DataFrame, similarity: int, turn: int) -> DataFrame:
+def _likely(similarity: int):
+    """Of pairs (a, b, n of a, n of b, bits of a, bits of b) those that the parity bits allow."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            good = []
+            for n, m, one, two in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                size = min(len(one), len(two))
+                differ = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum(dtype=np.int64))
+                good.append(differ <= n + m - 2 * least_overlap(n, m, similarity))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return run
+
+
+def _leader_links(groups: DataFrame, docs: DataFrame, facts: DataFrame, about: DataFrame, similarity: int, turn: int) -> DataFrame:
     """Each set compared with one leader of its groups: of those in another component and of a possible size, the one of most of them.
 
     A group's leader is in even rounds the set that shares most of its prefix with others (of near copies, the one
@@ -486,7 +504,11 @@ def _leader_links(groups: DataFrame, docs: DataFrame, facts: DataFrame, similari
     able = (F.col("component") != F.col("l.of")) & (100 * F.least("n", "l.size") >= similarity * F.greatest("n", "l.size"))
     met = groups.join(leaders, "key").filter(able).groupBy("node", F.col("l.leader").alias("leader")).agg(F.count("*").alias("shared"))
     pairs = met.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("best"))
-    pairs = written(pairs.select(F.col("best.leader").alias("a"), F.col("node").alias("b")), "leaders")
+    pairs = pairs.select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
+    for end in ("a", "b"):
+        pairs = pairs.join(about.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    likely = pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_likely(similarity), "a long, b long")
+    pairs = written(likely, "leaders")
     sets = whole_sets(docs, facts, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     return verified(pairs, sets, similarity)
 
@@ -523,7 +545,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketc
     members = shared.filter("node is not null").select("key", "node")
     kept = shared.filter("node is null").groupBy("members", "signature").agg(F.min("key").alias("key")).select("key", "members")
     shares = members.groupBy("node").agg(F.count("*").alias("shared"))
-    about = facts.filter("node is not null").select("node", "n", "p", "last", "bits").dropDuplicates(["node"])
+    about = written(facts.filter("node is not null").select("node", "n", "p", "last", "bits").dropDuplicates(["node"]), "sets")
     sizes = about.select("node", "n", "p").join(shares, "node").select("node", "n", F.round(F.col("shared") / F.col("p"), 2).alias("central"))
     kept = written(members.join(kept, "key").join(sizes, "node").select("key", "node", "n", "central", "members"), "groups")
 
@@ -532,7 +554,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketc
         groups = _open_groups(kept, labels)
         if groups.isEmpty():
             break
-        found = _leader_links(groups, docs, facts, similarity, turn)
+        found = _leader_links(groups, docs, facts, about, similarity, turn)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
