@@ -272,7 +272,7 @@ def _near_bits(able: np.ndarray, n: np.ndarray, bits: list[bytes], similarity: i
 
 
 def able_pairs(items: list[tuple], similarity: int, sides: list[int] | None) -> np.ndarray:
-    """Which pairs of (node, n, p, last, shared keys, component, bits) sizes, numbers of keys and parity bits allow; each pair once."""
+    """Which pairs of (node, n, p, last, shared keys, component, bits) sizes, numbers of keys and parity bits, where given, allow; each pair once."""
     n, p, last, keys = (np.array([item[k] for item in items]) for k in (1, 2, 3, 4))
     larger, smaller = np.maximum(n[:, None], n), np.minimum(n[:, None], n)
     # beyond the prefix that ends first, at most what is left of its set is shared
@@ -287,7 +287,8 @@ def able_pairs(items: list[tuple], similarity: int, sides: list[int] | None) ->
         able &= (side[:, None] == 1) & (side == 0)
     else:
         able &= np.tri(len(items), k=-1, dtype=bool)
-    _near_bits(able, n, [item[6] for item in items], similarity)
+    if items[0][6] is not None:
+        _near_bits(able, n, [item[6] for item in items], similarity)
     return able
 
 
@@ -341,27 +342,27 @@ def _groups(batches, columns: int):
         yield now, rows
 
 
-_WORK = "key long, one long, two long, side int, node long, component long"
+_WORK = "key long, one long, two long, side int, node long, component long, weight long"
 
 
 def _able(similarity: int):
-    """Of rows (key, one, two, side, node, component, n, p, last, bits, shared) those that some other row of the group may be similar to."""
+    """Of rows (key, one, two, side, node, component, weight, n, p, last, bits, shared) those that some other row of the group may be similar to."""
 
     def run(batches):
         import pyarrow as pa
 
-        names, types, out = [x.split()[0] for x in _WORK.split(", ")], [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2, []
+        names, types, out = [x.split()[0] for x in _WORK.split(", ")], [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3, []
 
         def made():
             columns = list(zip(*out)) or [()] * len(names)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        for group, rows in _groups(batches, 11):
-            items = [(node, n, p, last, shared, component, bits) for _, node, component, n, p, last, bits, shared in rows]
+        for group, rows in _groups(batches, 12):
+            items = [(node, n, p, last, shared, component, bits) for _, node, component, _, n, p, last, bits, shared in rows]
             able = able_pairs(items, similarity, [r[0] for r in rows] if group[1] != group[2] else None)
             some = able.any(axis=0) | able.any(axis=1)
-            out += [(*group, *rows[k][:3]) for k in np.flatnonzero(some)]
+            out += [(*group, *rows[k][:4]) for k in np.flatnonzero(some)]
             if len(out) > 50_000:
                 yield made()
         yield made()
@@ -466,7 +467,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _open_groups(kept: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the groups that lie in several components, (key, node, n, members, component); a set without links is its own component."""
+    """Members of the groups that lie in several components, (key, node, n, members, keys, component); a set without links is its own component."""
     rows = kept.withColumn("component", F.col("node"))
     if labels is not None:
         rows = kept.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -514,7 +515,7 @@ def _leader_links(groups: DataFrame, docs: DataFrame, facts: DataFrame, about: D
 
 
 def _blocks(large: DataFrame, similarity: int, group: int) -> DataFrame:
-    """Pairs of blocks of large groups, (key, one, two, side, node, component): bands of like size, sets of a component together."""
+    """Pairs of blocks of large groups, (key, one, two, side, node, component, weight): bands of like size, sets of a component together."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity))).cast("int")
     sized = large.withColumn("band", band).withColumn("bucket", F.pmod(F.xxhash64("component"), F.ceil(F.col("members") / group)).cast("int"))
     sizes = sized.groupBy("key", "band", "bucket").agg(F.count("*").alias("_n"))
@@ -528,8 +529,8 @@ def _blocks(large: DataFrame, similarity: int, group: int) -> DataFrame:
     pairs = one.join(two, "key").filter(near & ~settled).select("key", F.col("block_one").alias("one"), F.col("block_two").alias("two"))
     sides = F.when(F.col("one") == F.col("two"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     pairs = pairs.select("key", "one", "two", F.explode(sides).alias("side")).withColumn("block", F.when(F.col("side") == 0, F.col("one")).otherwise(F.col("two")))
-    rows = sized.withColumn("block", F.xxhash64("band", "bucket", "part")).select("key", "block", "node", "component")
-    return rows.join(pairs, ["key", "block"]).select("key", "one", "two", "side", "node", "component")
+    rows = sized.withColumn("block", F.xxhash64("band", "bucket", "part")).select("key", "block", "node", "component", F.col("keys").alias("weight"))
+    return rows.join(pairs, ["key", "block"]).select("key", "one", "two", "side", "node", "component", "weight")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketch_bits: int, group: int) -> DataFrame:
@@ -543,11 +544,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketc
     n_parts = stop_split(spark, tokens.count(), 4_000_000)
     shared = written(tokens.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, _SHARED), "shared")
     members = shared.filter("node is not null").select("key", "node")
-    kept = shared.filter("node is null").groupBy("members", "signature").agg(F.min("key").alias("key")).select("key", "members")
+    kept = shared.filter("node is null").groupBy("members", "signature").agg(F.min("key").alias("key"), F.count("*").alias("keys")).select("key", "members", "keys")
     shares = members.groupBy("node").agg(F.count("*").alias("shared"))
     about = written(facts.filter("node is not null").select("node", "n", "p", "last", "bits").dropDuplicates(["node"]), "sets")
     sizes = about.select("node", "n", "p").join(shares, "node").select("node", "n", F.round(F.col("shared") / F.col("p"), 2).alias("central"))
-    kept = written(members.join(kept, "key").join(sizes, "node").select("key", "node", "n", "central", "members"), "groups")
+    kept = written(members.join(kept, "key").join(sizes, "node").select("key", "node", "n", "central", "members", "keys"), "groups")
 
     labels, links = None, None
     for turn in range(LEADER_ROUNDS):
@@ -561,15 +562,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: int, sketc
         labels = components(links)
     groups = written(_open_groups(kept, labels), "open")
     place = [F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).alias("side")]
-    work = groups.filter(F.col("members") <= group).select("key", *place, "node", "component")
+    work = groups.filter(F.col("members") <= group).select("key", *place, "node", "component", F.col("keys").alias("weight"))
     work = work.unionByName(_blocks(groups.filter(F.col("members") > group), similarity, group))
     order = ["key", "one", "two", "side"]
-    sized = work.join(about.join(shares, "node"), "node").select(*order, "node", "component", "n", "p", "last", "bits", "shared")
-    sized = sized.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
-    work = written(sized.mapInArrow(_able(similarity), _WORK), "able")
+    # Sets of different components share the keys of open groups alone, and able ones meet in all of these: what is
+    # left bounds the overlap anew. Most rows go by numbers, before any bits are sent.
+    for bits in (None, None, "bits"):
+        opened = work.select("key", "node", "weight").distinct().groupBy("node").agg(F.sum("weight").alias("shared"))
+        opened = written(about.join(opened, "node"), "opened")
+        sent = F.col(bits) if bits else F.lit(None).cast("binary").alias("bits")
+        sized = work.join(opened.select("node", "n", "p", "last", sent, "shared"), "node").select(*order, "node", "component", "weight", "n", "p", "last", "bits", "shared")
+        sized = sized.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
+        work = written(sized.mapInArrow(_able(similarity), _WORK), "able")
     wanted = work.select("node").distinct()
     prefixes = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # bounded by the set's own prefix
-    work = work.join(about.join(prefixes, "node"), "node").select(*order, "node", "component", "n", "p", "last", "bits", "keys")
+    work = work.join(opened.join(prefixes, "node"), "node").select(*order, "node", "component", "n", "p", "last", "bits", "keys")
     work = work.repartition(n_parts, "key", "one", "two").sortWithinPartitions(*order)
     pairs = written(work.mapInArrow(_pairs(similarity), "a long, b long, shared long"), "candidates")
 
