@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from larder.functions import geo
 
 # Cell heights in metres; the last level is one cell for the whole globe.
-LEVELS = [500, 1_000, 2_000, 4_000, 8_000, 16_000, 32_000, 64_000, 1_000_000]
+LEVELS = [30, 60, 125, 250, 500, 1_000, 2_000, 4_000, 8_000, 16_000, 32_000, 64_000, 1_000_000]
 _GLOBE = len(LEVELS)
+# Halvings of one degree down to the smallest cell that is counted, about 3 m.
+_FINEST = 15
 _DEGREE = 3.141592653589793 * geo.EARTH_RADIUS_M / 180
 
 
@@ -96,12 +98,39 @@ def circle_cells(circles: DataFrame, lat: str, lon: str, radius: str) -> DataFra
     )
 
 
+def holding_radius(circles: DataFrame, points: DataFrame, lat: str, lon: str, need: int, most_m: float) -> DataFrame:
+    """`circles` with `radius`: `most_m`, or less where a smaller circle is known to hold `need` of the `points`.
+
+    Points are counted in nested cells of halved degrees.  The smallest cell around a circle's centre
+    that holds enough bounds the distance of its `need` nearest points, however dense the points are.
+    """
+
+    def cells(rows: DataFrame, latitude: str, longitude: str) -> DataFrame:
+        fine = [F.floor((F.col(c) + offset) * (1 << _FINEST)).cast("long") for c, offset in ((latitude, 90.0), (longitude, 180.0))]
+        return rows.withColumn("row", fine[0]).withColumn("column", fine[1]).filter("row is not null and column is not null")
+
+    def nested(rows: DataFrame) -> DataFrame:
+        up = rows.withColumn("halved", F.explode(F.sequence(F.lit(0), F.lit(_FINEST))))
+        return up.withColumns({c: F.expr(f"shiftright(`{c}`, {_FINEST} - halved)") for c in ("row", "column")})
+
+    fine = cells(points, "lat", "lon").groupBy("row", "column").agg(F.count(F.lit(1)).alias("n"))
+    full = nested(fine).groupBy("halved", "row", "column").agg(F.sum("n").alias("n")).filter(F.col("n") >= need).drop("n")
+    centres = nested(cells(circles.select(lat, lon).distinct(), lat, lon))
+    smallest = centres.join(full, ["halved", "row", "column"]).groupBy(lat, lon).agg(F.max("halved").alias("halved"))
+    # From a centre to a point of its cell: along its parallel, then along a meridian.
+    side = F.pow(F.lit(0.5), F.col("halved")) * _DEGREE
+    reach = F.least(side * (1 + F.cos(F.radians(F.col(lat)))) * 1.000001 + 0.01, F.lit(float(most_m)))
+    return circles.join(smallest.select(lat, lon, reach.alias("radius")), [lat, lon], "left").withColumn(
+        "radius", F.coalesce("radius", F.lit(float(most_m)))
+    )
+
+
 def within_radius(
     circles: DataFrame, points: DataFrame, lat: str, lon: str, radius: str, on: list[str] = ()
 ) -> DataFrame:
     """Circles joined to the points (`lat`, `lon`) they contain, with `distance_m`.
 
-    Points are dealt only to the levels that the radii use, at most ten.
+    Points are dealt only to the levels that the radii use, at most fourteen.
     Circle columns `lat`/`lon`/`radius` are named by the caller and must differ from
     the point columns.  `on` names columns of both sides that must be equal as well.
     """

@@ -12,7 +12,8 @@ from larder.catalog import Catalog
 from larder.functions import geo
 from larder.functions import text as tx
 from larder.operators import lookups
-from larder.operators.geo_join import within_radius
+from larder.operators.geo_join import holding_radius, within_radius
+from larder.operators.lineage import cut
 from larder.operators.topk import top_rows
 from larder.plans.search import search
 
@@ -193,18 +194,19 @@ SHOWN = 30
 def nearby(points: DataFrame, catalog: Catalog, radii: tuple[float, ...] = RADII_M, enough: int = ENOUGH, shown: int = SHOWN) -> DataFrame:
     """Nearest places within the smallest radius that holds enough, or the largest.
 
-    One join at the largest radius; the counts per radius come from the same rows.
-    Points are (request_id, latitude, longitude).
+    One join within a radius that holds the rows that can be shown, at most the largest; the counts per
+    radius come from the same rows.  Points are (request_id, latitude, longitude).
     """
     spots = lookups.active_places(catalog.place).select(
         F.col("id").alias("place_id"), "location_id", F.col("updated_at").cast("timestamp").alias("updated_at")
     ).join(catalog.location.select(F.col("id").alias("location_id"), "lat", "lon"), "location_id")
-    circles = points.select("request_id", "latitude", "longitude", F.lit(float(max(radii))).alias("radius"))
     # Only the nearest rows can be shown, and `enough` never needs more than those.
-    order = [F.col("distance_m"), F.desc("updated_at"), F.desc("place_id")]
-    near = top_rows(
-        within_radius(circles, spots, "latitude", "longitude", "radius"), ["request_id"], order, max(shown, enough), "place_id"
-    )
+    need = max(shown, enough)
+    by_time = [F.desc("updated_at"), F.desc("place_id")]
+    # Places at one spot are as far from everywhere, so no more of them than can be shown.
+    spots = cut(top_rows(spots.filter("lat is not null and lon is not null"), ["lat", "lon"], by_time, need, "place_id").drop("rank"))
+    circles = cut(holding_radius(points.select("request_id", "latitude", "longitude"), spots, "latitude", "longitude", need, max(radii)))
+    near = top_rows(within_radius(circles, spots, "latitude", "longitude", "radius"), ["request_id"], [F.col("distance_m"), *by_time], need, "place_id")
     counts = near.groupBy("request_id").agg(*[F.count_if(F.col("distance_m") <= r).alias(f"n{i}") for i, r in enumerate(radii)])
     chosen = F.lit(float(radii[-1]))
     for i in range(len(radii) - 1, -1, -1):
