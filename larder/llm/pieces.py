@@ -5,7 +5,8 @@ and records for every normalised character which source bytes it came from; a pi
 the source range of its characters. Pairs are then merged by score, leftmost first, and pieces
 outside the vocabulary fall back to bytes. Where no piece has a space marker after another
 character, as in vocabularies split at white space, a text is the sequence of its marked words,
-and each distinct word is merged once per worker process.
+and each distinct word is normalised and merged once per worker process: its ids and the source
+widths of its pieces are put one after the other in every text that holds it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +82,12 @@ class PieceCoder:
         self.surface = model.trainer_spec.unk_surface
         self.by_word = self.escape and not self.suffix and not self.user and not self.unused and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.by_line = self.by_word and not any("\n" in p and len(p) > 1 for p in self.ids)
-        self.plain = self.by_line and not self.map.units and self.prefix and not self.squeeze
+        self.plain = self.by_line and not self.map.units and self.prefix and not self.squeeze and bool(self.bytes)
         self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if self.by_line else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.known_chunks: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_chunks: dict[str, bytes] = {}
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.texts = [self._text(i) for i in range(len(self.pieces))]
 
     # -- normalisation -------------------------------------------------------------------------
 
@@ -91,6 +95,12 @@ class PieceCoder:
         """The normalised text and, for each of its characters and its end, the source byte it starts at."""
         if not text:
             return "", [0]
+        if self.escape and not (self.map.units or self.user or self.squeeze):  # every character stands for itself
+            starts = [*range(len(text) + 1)] if text.isascii() else [0, *accumulate([len(c.encode()) for c in text])]
+            normal = text.replace(" ", SPACE)
+            if not self.prefix:
+                return normal, starts
+            return (normal + SPACE, starts + starts[-1:]) if self.suffix else (SPACE + normal, [0] + starts)
         data = text.encode()
         out: list[str] = []
         spans: list[tuple[int, int]] = []  # source bytes of each normalised character
@@ -134,21 +144,20 @@ class PieceCoder:
         symbols = self._symbols(text)
         if len(symbols) > 40 or self.unused or self.user:
             return self._merge_long(symbols)
-        score = self.scores.get
-        pairs = [score(a + b, None) for a, b in zip(symbols, symbols[1:])]
-        while True:
-            best, at = None, -1
-            for k, s in enumerate(pairs):
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                return symbols
+        score, none = self.scores.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            at = pairs.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
             del pairs[at]
             if at:
-                pairs[at - 1] = score(symbols[at - 1] + symbols[at])
+                pairs[at - 1] = score(symbols[at - 1] + symbols[at], none)
             if at < len(pairs):
-                pairs[at] = score(symbols[at] + symbols[at + 1])
+                pairs[at] = score(symbols[at] + symbols[at + 1], none)
+        return symbols
 
     def _symbols(self, text: str) -> list[str]:
         if not self.user:
@@ -201,9 +210,14 @@ class PieceCoder:
             return self.merge(normal)
         return [p for chunk in self.chunks(normal) for p in self.merge(chunk)]
 
-    def encode(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids, and the source bytes [begin, end) of each; the bytes of one character share its span."""
-        normal, starts = self.normalise(text or "")
+    def aligned(self, text: str | None):
+        """Ids, and arrays of the source bytes where each begins and ends; the bytes of one character share them."""
+        import numpy as np
+
+        text = text or ""
+        if text and self.plain and SPACE not in text:
+            return self._of_words(text)
+        normal, starts = self.normalise(text)
         ids, spans, at = [], [], 0
         for piece in self._pieces(normal):
             some = self.piece_ids(piece)
@@ -212,7 +226,56 @@ class PieceCoder:
             at += len(piece)
         if not self.bytes:
             ids, spans = _joined_unknowns(ids, spans, self.unknown)
-        return ids, spans
+        begins, ends = np.array(spans, np.int64).reshape(-1, 2).T
+        return ids, begins, ends
+
+    def encode(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids, and the source bytes [begin, end) of each; the bytes of one character share its span."""
+        ids, begins, ends = self.aligned(text)
+        return ids, list(zip(begins.tolist(), ends.tolist()))
+
+    def _of_words(self, text: str):
+        """`aligned` from the ids and source widths of the text's words."""
+        import numpy as np
+
+        if text[0] == " " or " \n" in text or "  " in text:
+            store, keys = self.known_chunks, self.chunks(SPACE + text.replace(" ", SPACE))
+        else:  # a word stands for the marker and itself, one after a line end for that end and itself
+            store, keys = self.known, text.replace("\n", " \n").split(" ")
+        try:
+            known = b"".join(map(store.__getitem__, keys))
+        except KeyError:
+            if len(store) > CACHED_WORDS:
+                store.clear()
+            for k in keys:
+                if k not in store:
+                    if store is self.known_chunks:
+                        store[k] = self._learn(k)
+                    elif k[:1] == "\n":
+                        store[k] = self._learn("\n") + (self._learn(k[1:]) if len(k) > 1 else b"")
+                    else:
+                        store[k] = self._learn(SPACE + k)
+            known = b"".join(map(store.__getitem__, keys))
+        ids, widths, spans = np.frombuffer(known, "<i4").reshape(-1, 3).T
+        ends = widths.cumsum(dtype=np.int64) - 1  # no source byte is behind the marker that encoding puts first
+        return ids.tolist(), np.maximum(ends - spans, 0), ends
+
+    def _learn(self, chunk: str) -> bytes:
+        """Of a chunk of a normalised text every id, the source bytes it adds and those of its whole character or piece."""
+        marked = chunk[0] == SPACE
+        normal, starts = self.normalise(chunk[marked:].replace(SPACE, " ")) if len(chunk) > marked else (SPACE, [0, 0])
+        if not marked:
+            normal, starts = normal[1:], starts[1:]
+        rows, at = [], 0
+        for piece in self.merge(normal):
+            end = at + len(piece)
+            width = starts[end] - starts[at] + (marked and at == 0)
+            added = width
+            for i in self.piece_ids(piece):
+                rows += i, added, width
+                added = 0
+            at = end
+        return struct.pack(f"<{len(rows)}i", *rows)
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the marker that encoding put first."""
@@ -224,57 +287,32 @@ class PieceCoder:
                     break
         return self._decoded(ids)[dropped:]
 
+    def _text(self, i: int) -> str:
+        """What an id alone stands for; a byte over 127 is a lone surrogate until its neighbours are known."""
+        kind = self.kinds[i]
+        if kind == _BYTE:
+            byte = int(self.pieces[i][3:5], 16)
+            return chr(byte if byte < 128 else 0xDC00 + byte)
+        return self.surface if kind == _UNKNOWN else "" if kind == _CONTROL else self.pieces[i].replace(SPACE, " ")
+
     def _decoded(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == _BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-                continue
-            if raw:
-                out.append(_utf8(raw))
-                raw = bytearray()
-            if kind == _UNKNOWN:
-                out.append(self.surface)
-            elif kind != _CONTROL:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        return "".join(out) + (_utf8(raw) if raw else "")
-
-    def _learn(self, chunk: str) -> tuple[str, int, str]:
-        ids = [i for p in self.merge(chunk) for i in self.piece_ids(p)]
-        return ",".join(map(str, ids)), len(ids), self._decoded(ids)
+        text = "".join(map(self.texts.__getitem__, ids))
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            text = _HIGH.sub(lambda m: _utf8(bytearray(ord(c) - 0xDC00 for c in m.group())), text)
+        return text
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from them."""
         import hashlib
 
-        text = text or ""
-        if not text or not self.plain:
-            ids, _ = self.encode(text)
-            known = [(",".join(map(str, ids)), len(ids), self.decode(ids))] if ids else []
-        else:
-            if text[0] == " " or " \n" in text or "  " in text or SPACE in text:
-                store, keys = self.known_chunks, self.chunks(SPACE + text.replace(" ", SPACE))
-            else:  # a word stands for the marker and itself, one after a line end for that end and itself
-                store, keys = self.known, text.replace("\n", " \n").split(" ")
-            try:
-                known = [store[k] for k in keys]
-            except KeyError:
-                if len(store) > CACHED_WORDS:
-                    store.clear()
-                for k in keys:
-                    if k not in store:
-                        if store is self.known_chunks:
-                            store[k] = self._learn(k)
-                        elif k[:1] == "\n":
-                            parts = [self._learn("\n")] + [self._learn(k[1:])] * (len(k) > 1)
-                            store[k] = ",".join(p[0] for p in parts), sum(p[1] for p in parts), "".join(p[2] for p in parts)
-                        else:
-                            store[k] = self._learn(SPACE + k)
-                known = [store[k] for k in keys]
-            known[0] = known[0][0], known[0][1], known[0][2][1:]
-        ids_hash, text_hash = hashlib.sha256(",".join([k[0] for k in known]).encode()), hashlib.sha256("".join([k[2] for k in known]).encode())
-        return sum([k[1] for k in known]), ids_hash.hexdigest(), text_hash.hexdigest()
+        ids, _, _ = self.aligned(text)
+        ids_hash = hashlib.sha256(",".join(map(self.names.__getitem__, ids)).encode())
+        return len(ids), ids_hash.hexdigest(), hashlib.sha256((self.decode(ids) if ids else "").encode()).hexdigest()
+
+
+_HIGH = re.compile("[\udc80-\udcff]+")
 
 
 def _utf8(raw: bytearray) -> str:
@@ -327,13 +365,13 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                found = [code.encode(t.as_py()) for t in some.column(1)]
+                found = [code.aligned(t.as_py()) for t in some.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0),
-                        pa.array([i for i, _ in found], pa.list_(pa.int32())),
-                        pa.array([[a for a, _ in s] for _, s in found], pa.list_(pa.int64())),
-                        pa.array([[b for _, b in s] for _, s in found], pa.list_(pa.int64())),
+                        pa.array([i for i, _, _ in found], pa.list_(pa.int32())),
+                        pa.array([begins for _, begins, _ in found], pa.list_(pa.int64())),
+                        pa.array([ends for _, _, ends in found], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "ids", "begins", "ends"],
                 )

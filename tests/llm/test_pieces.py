@@ -74,3 +74,25 @@ def test_compiled_character_map(path, rule, squeeze):
 def test_empty_table(spark, path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert piece_digests(empty, path).count() == encode_pieces(empty, path).count() == 0
+
+
+def test_digests_come_from_the_aligned_ids(path, monkeypatch):
+    """A digest is taken over the ids that encoding aligns with the source and over what is decoded from them."""
+    code, seen = PieceCoder(open(path, "rb").read()), []
+    aligned, decode = code.aligned, code.decode
+    monkeypatch.setattr(code, "aligned", lambda t: seen.append(aligned(t)) or seen[-1])
+    monkeypatch.setattr(code, "decode", lambda ids: seen.append(ids) or decode(ids))
+    for t in TEXTS[1:] + ["plain words of one line", "日本 two\nlines"]:
+        seen.clear()
+        code.digest(t)
+        (ids, begins, ends), decoded = seen
+        assert decoded == ids and len(begins) == len(ends) == len(ids)
+        begins, ends = list(begins), list(ends)
+        normal, starts = code.normalise(t)
+        at = 0
+        for piece in code._pieces(normal):
+            n = len(code.piece_ids(piece))
+            assert set(zip(begins[:n], ends[:n])) == {(starts[at], starts[at + len(piece)])}, repr(t)
+            del begins[:n], ends[:n]
+            at += len(piece)
+        assert not begins
