@@ -71,31 +71,32 @@ class WordEncoder:
             words = words | {""}
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        plain, other, new = {}, [], {}
+        known, plain, other, new = self.known, [], [], {}
         for word in words:
             if self.plain(word) and "<|" not in word:
-                plain[word] = parts = self.parts(word.lower())
-                new.update(dict.fromkeys(p for p in parts if p not in self.known))
+                parts = self.parts(word.lower())
+                plain.append((word, parts))
+                for p in parts:
+                    if p not in known:
+                        new[p] = None
             else:
                 other.append(word)
         self._learn_parts(list(new))
-        known = self.known
-        self.words.update((word, b"".join([known[p] for p in parts])) for word, parts in plain.items())
+        for word, parts in plain:
+            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         self.words.update(zip(other, self._alone(other)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown: set[str] = set()
-        for words in split:
-            unknown.update(words)
-        unknown = {w for w in unknown if w not in self.words}
-        if unknown:
-            self._learn(unknown)
-            if "" not in self.words or any(w not in self.words for words in split for w in words):
-                self._learn({w for words in split for w in words})
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        for at, words in enumerate(split):
+            try:
+                yield b"".join(map(self.words.__getitem__, words))
+            except KeyError:  # all that the rest lacks is learned in one call
+                self._learn(set().union(*split[at:]).difference(self.words))
+                if any(w not in self.words for w in words):  # the table was emptied meanwhile
+                    self._learn({w for some in split[at:] for w in some})
+                yield b"".join(map(self.words.__getitem__, words))
 
 
 def _pieces(path: str, end_id: int, size: int, keep_ids: bool):

@@ -64,3 +64,21 @@ def test_patterns_hold_the_histogram(seed):
         for length, each in pattern:
             held[length] += packs * each
     assert held == histogram
+
+
+def test_words_learned_when_missing(tokenizer, monkeypatch):
+    """Texts of known words look nothing up beside the table; an emptied table is filled again."""
+    from tokenizers import Tokenizer
+
+    from larder.llm import packing
+
+    t, texts = Tokenizer.from_file(tokenizer), [x or "" for x in _texts()]
+    expected = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    encoder, learned = packing.WordEncoder(tokenizer), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: learned.append(words) or learn(words))
+    assert list(encoder.encode(texts)) == expected and len(learned) == 1
+    assert list(encoder.encode(texts)) == expected and len(learned) == 1
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    for _ in range(2):
+        assert [x for k in range(0, len(texts), 7) for x in encoder.encode(texts[k : k + 7])] == expected
