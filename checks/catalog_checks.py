@@ -10,6 +10,7 @@ from checks.harness import check
 from larder.functions import geo
 from larder.functions import text as tx
 from larder.operators import lookups
+from larder.operators.dealt_join import dealt_join
 from larder.operators.topk import top_rows
 from larder.plans import audit, detail, documents, listings, refresh, reports
 
@@ -111,7 +112,7 @@ def summary(spark, sf):
         c.location.select(F.col("id").alias("location_id"), "formatted_address", "lat", "lon").filter("lat is not null"), "location_id"
     )
     away = geo.distance(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    return rows.withColumn("k", F.col("place_id") % 50).join(asked, "k").select(
+    return dealt_join(rows.withColumn("k", F.col("place_id") % 50), asked, ["k"]).select(
         "request_id", "place_id", "formatted_address", (F.round(away / 100) / 10).alias("distance_km")
     )
 
