@@ -45,3 +45,19 @@ def test_photos_work_grows_with_the_images(spark):
     seconds(10)
     # All pairs of 20,000 different images take minutes.
     assert seconds(20_000) < 20
+
+
+def test_label_keys_are_made_once(spark):
+    labels = ["Quán cà phê", "Bánh mì & Phở", "COM tam", "Vietnamese restaurant", "Restaurant", "Coffee", " ", None, "Building"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, label string")
+    made = rows.select("i", scan.label_slug(F.col("label")).alias("slug"))
+    got = [r.slug for r in made.orderBy("i").collect()]
+    assert got == ["coffee-shop", "snack", "rice", "vietnamese", "restaurant", "coffee-shop", None, None, None]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Normalizer") <= 4
+
+
+def test_review_counts(spark):
+    texts = ["4,5 (1.234)", "87 đánh giá", "12 Reviews", "4.8", "5.0", "9.1", "x 3 y 17", "[ 20 ]", "", None, "99999999999999999999"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = [r.n for r in rows.select("i", scan.review_count(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [1234, 87, 12, None, None, 91, 17, 20, None, None, None]
