@@ -65,13 +65,16 @@ def is_area_card(name: Column) -> Column:
 
 def is_junk(name: Column) -> Column:
     """Names the catalog rejects: non-food businesses, markers, bare addresses."""
-    key = tx.match_key(name)
-    prefix = key.rlike("^(?:" + "|".join(re.escape(p) for p in tax.JUNK_NAME_PREFIXES) + ")")
-    word = key.rlike(tx.LETTER_START + "(?:" + "|".join(tax.JUNK_NAME_WORDS) + ")" + tx.LETTER_END)
-    address = key.rlike("^[0-9]")
-    for part in tax.JUNK_ADDRESS_PARTS:
-        address = address & key.contains(part)
-    return F.coalesce(prefix | word | key.isin(tax.JUNK_NAMES) | address, F.lit(False))
+
+    def junk(key: Column) -> Column:
+        prefix = key.rlike("^(?:" + "|".join(re.escape(p) for p in tax.JUNK_NAME_PREFIXES) + ")")
+        word = key.rlike(tx.LETTER_START + "(?:" + "|".join(tax.JUNK_NAME_WORDS) + ")" + tx.LETTER_END)
+        address = key.rlike("^[0-9]")
+        for part in tax.JUNK_ADDRESS_PARTS:
+            address = address & key.contains(part)
+        return prefix | word | key.isin(tax.JUNK_NAMES) | address
+
+    return F.coalesce(tx.once(tx.match_key(name), junk), F.lit(False))
 
 
 def reject_places(catalog: Catalog, flagged: Column, now: Column, provider: str = tax.SCAN_PROVIDER) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from larder.functions import scan
+from larder.plans import repair
 
 HOST = "https://lh3.googleusercontent.com/p/"
 
@@ -61,3 +62,11 @@ def test_review_counts(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
     got = [r.n for r in rows.select("i", scan.review_count(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [1234, 87, 12, None, None, 91, 17, 20, None, None, None]
+
+
+def test_junk_keys_are_made_once(spark):
+    names = ["Nhà Bè", "Karaoke Sao", "12 phường 3, Phường 4, quận 5, thành phố", "Phở Bò", " ", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, name string")
+    found = rows.filter(repair.is_junk(F.col("name")))
+    assert {r.i for r in found.collect()} <= {0, 1, 2} and 0 in {r.i for r in found.collect()}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
