@@ -75,26 +75,30 @@ def phrases(text: Column, max_words: int = tax.LEXICON_MAX_WORDS) -> Column:
     """Distinct runs of up to `max_words` words separated by single spaces."""
     key = tx.collapse(tx.fold(text))
     runs = F.filter(F.split(key, r"(?:[^a-z0-9 ]| (?![a-z0-9])|(?<![a-z0-9]) )+"), lambda r: r != "")
-    grams = F.transform(
-        runs,
-        lambda run: F.flatten(
+
+    def grams(words: Column) -> Column:
+        return F.flatten(
             F.transform(
-                F.split(run, " "),
+                words,
                 lambda _, i: F.transform(
-                    F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(F.split(run, " ")) - i)),
-                    lambda n: F.array_join(F.slice(F.split(run, " "), i + 1, n), " "),
+                    F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(words) - i)),
+                    lambda n: F.array_join(F.slice(words, i + 1, n), " "),
                 ),
             )
-        ),
-    )
-    return F.array_distinct(F.flatten(grams))
+        )
+
+    # A run is split once: splitting it for every phrase would cost the square of its words.
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: tx.once(F.split(run, " "), grams))))
 
 
 def phrase_hits(texts: DataFrame, words: DataFrame, keys: list[str], max_words: int = tax.LEXICON_MAX_WORDS) -> DataFrame:
     """(keys, phrase, display): lexicon phrases that occur whole in `text`.
 
-    Linear in the text: word runs are exploded and joined to the lexicon.
+    Linear in the text: word runs are exploded and joined to the lexicon.  Runs longer than its longest
+    phrase cannot meet one and are not made.
     """
+    longest = words.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    max_words = min(max_words, max(longest, 1))
     return (
         texts.select(*keys, F.explode(phrases(F.col("text"), max_words)).alias("phrase"))
         .join(F.broadcast(words), "phrase")

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from larder.functions import scan
-from larder.plans import repair
+from larder.plans import enrich, repair
 
 HOST = "https://lh3.googleusercontent.com/p/"
 
@@ -64,6 +64,19 @@ def test_review_counts(spark):
     assert got == [1234, 87, 12, None, None, 91, 17, 20, None, None, None]
 
 
+def test_phrases_work_grows_with_the_words(spark):
+    texts = ["Một hai, ba", "a b c d e f", "", None, " x - y z"]
+    made = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", enrich.phrases(F.col("t"), 2).alias("p"))
+    got = [r.p for r in made.orderBy("i").collect()]
+    assert got[0] == ["mot", "mot hai", "hai", "ba"] and got[1] == ["a", "a b", "b", "b c", "c", "c d", "d", "d e", "e", "e f", "f"]
+    assert got[2:] == [[], None, ["x", "y", "y z", "z"]]
+    # One run of 20,000 words; splitting it for every phrase takes minutes.
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i.cast("string")), " ").alias("t"))
+    start = time.time()
+    assert long.select(F.size(enrich.phrases(F.col("t"), 3))).first()[0] == 59_997
+    assert time.time() - start < 20
+
+
 def test_junk_keys_are_made_once(spark):
     names = ["Nhà Bè", "Karaoke Sao", "12 phường 3, Phường 4, quận 5, thành phố", "Phở Bò", " ", None]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, name string")
