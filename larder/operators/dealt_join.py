@@ -19,10 +19,12 @@ def dealt_join(rows: DataFrame, others: DataFrame, keys: list[str], pairs: int =
     made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).join(others.groupBy(*keys).agg(F.count(F.lit(1)).alias("_others")), keys)
     made = made.withColumn("_pairs", F.col("_rows").cast("double") * F.col("_others"))
     heavy = made.filter(F.col("_pairs") > pairs).select(*keys, F.least("_rows", F.ceil(F.col("_pairs") / pairs)).cast("int").alias("_shards"))
-    total = made.agg(F.sum("_pairs")).first()[0] or 0
+    total, most = (n or 0 for n in made.agg(F.sum("_pairs"), F.max("_pairs")).first())
     if total <= pairs:
         return rows.join(others, keys)
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(2 * total // pairs) + 1)
+    if most <= pairs:
+        return rows.repartition(tasks, *keys).hint("merge").join(others.repartition(tasks, *keys), keys)
     shards = F.coalesce("_shards", F.lit(1))
     dealt = rows.withColumn("_deal", F.xxhash64(*rows.columns)).join(heavy, keys, "left")
     dealt = dealt.withColumn("_shard", F.pmod("_deal", shards).cast("int")).drop("_shards", "_deal")

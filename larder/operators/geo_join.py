@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import geo
+from larder.operators.dealt_join import PAIRS, dealt_join
 
 # Cell heights in metres; the last level is one cell for the whole globe.
 LEVELS = [30, 60, 125, 250, 500, 1_000, 2_000, 4_000, 8_000, 16_000, 32_000, 64_000, 1_000_000]
@@ -64,12 +65,20 @@ def circle_cells(circles: DataFrame, lat: str, lon: str, radius: str) -> DataFra
     spread = F.when(
         (F.abs(F.col(lat)) + reach >= 90) | (sine >= 1), F.lit(360.0)
     ).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))))
-    west = F.greatest(F.col(lon) + F.col("_turn") - F.col("_spread"), F.lit(-180.0))
-    east = F.least(F.col(lon) + F.col("_turn") + F.col("_spread"), F.lit(180.0))
     width = _width(F.col("row"), height)
     slack = 1e-7
+
+    def columns(turn: float) -> Column:
+        """Columns of a row that the circle touches, seen from the other side of the date line for a turn."""
+        west = F.greatest(F.col(lon) + turn - F.col("_spread"), F.lit(-180.0))
+        east = F.least(F.col(lon) + turn + F.col("_spread"), F.lit(180.0))
+        touched = F.sequence(F.floor((west - slack) / width), F.floor((east + slack) / width))
+        return F.when(west <= east, touched).otherwise(F.array().cast("array<bigint>"))
+
+    # Circles are made distinct before cells multiply them: the table of a task that does so afterwards holds every cell.
     return (
         circles.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(radius).isNotNull())
+        .distinct()
         .withColumn("level", _level(F.col(radius)))
         .withColumn("_spread", spread)
         .withColumn(
@@ -82,19 +91,8 @@ def circle_cells(circles: DataFrame, lat: str, lon: str, radius: str) -> DataFra
             ),
         )
         # A circle across the date line continues on the other side of the globe.
-        .withColumn("_turn", F.explode(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0))))
-        .withColumn("_west", west).withColumn("_east", east)
-        .filter(F.col("_west") <= F.col("_east"))
-        .withColumn(
-            "column",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("_west") - slack) / width), F.floor((F.col("_east") + slack) / width)
-                )
-            ),
-        )
-        .drop("_spread", "_turn", "_west", "_east")
-        .distinct()
+        .withColumn("column", F.explode(F.array_distinct(F.concat(*[columns(turn) for turn in (0.0, 360.0, -360.0)]))))
+        .drop("_spread")
     )
 
 
@@ -126,22 +124,21 @@ def holding_radius(circles: DataFrame, points: DataFrame, lat: str, lon: str, ne
 
 
 def within_radius(
-    circles: DataFrame, points: DataFrame, lat: str, lon: str, radius: str, on: list[str] = ()
+    circles: DataFrame, points: DataFrame, lat: str, lon: str, radius: str, on: list[str] = (), pairs: int = PAIRS
 ) -> DataFrame:
     """Circles joined to the points (`lat`, `lon`) they contain, with `distance_m`.
 
-    Points are dealt only to the levels that the radii use, at most fourteen.
+    Points are dealt only to the levels that the radii use, at most fourteen, and the pairs of a cell to
+    tasks of about `pairs`, however many circles and points share it.
     Circle columns `lat`/`lon`/`radius` are named by the caller and must differ from
     the point columns.  `on` names columns of both sides that must be equal as well.
     """
     cells = circle_cells(circles, lat, lon, radius)
     used = sorted(r.level for r in circles.filter(F.col(radius).isNotNull()).select(_level(F.col(radius)).alias("level")).distinct().collect())
     away = geo.distance(F.col("lat"), F.col("lon"), F.col(lat), F.col(lon))
+    # Files understate rows in memory, and more so before cells multiply them: neither side is broadcast by their size.
     return (
-        # Files understate rows in memory, and more so before cells multiply them: neither side is broadcast by their size.
-        point_cells(points, levels=used)
-        .hint("merge")
-        .join(cells, ["level", "row", "column", *on])
+        dealt_join(point_cells(points, levels=used), cells.hint("merge"), ["level", "row", "column", *on], pairs)
         .withColumn("distance_m", away)
         .filter(F.col("distance_m") <= F.col(radius))
         .drop("level", "row", "column")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from larder.functions import geo
-from larder.operators.geo_join import holding_radius, point_cells, within_radius
+from larder.operators.geo_join import circle_cells, holding_radius, point_cells, within_radius
 from larder.operators.nearest import newest_after
 
 
@@ -24,6 +24,30 @@ def test_neither_side_of_a_radius_join_is_broadcast(spark):
     assert point_cells(points, levels=[2, 4]).count() == 50 * 2
 
 
+def test_pairs_of_one_cell_are_dealt_to_tasks(spark):
+    """All pairs of a cell were made by the task that its key fell to."""
+    points = spark.range(400).select(F.col("id").alias("place_id"), F.lit(10.0).alias("lat"), (106.0 + F.col("id") * 1e-6).alias("lon"))
+    circles = spark.range(30).select(
+        F.col("id").alias("request_id"), F.lit(10.0).alias("latitude"), (106.0 + F.col("id") * 1e-5).alias("longitude"), F.lit(30.0).alias("radius")
+    )
+    found = within_radius(circles, points, "latitude", "longitude", "radius", pairs=500).withColumn("task", F.spark_partition_id()).cache()
+    away = geo.distance(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
+    want = circles.crossJoin(points).filter(away <= 30).select("request_id", "place_id").collect()
+    assert sorted(found.select("request_id", "place_id").collect()) == sorted(want) and len(want) > 5000
+    assert max(r["count"] for r in found.groupBy("task").count().collect()) < 3000
+
+
+def test_circles_are_distinct_before_their_cells(spark):
+    """The cells of all circles of a task were held in one table to make them distinct."""
+    rows = [(1, 10.0, 106.0, 5000.0), (1, 10.0, 106.0, 5000.0), (2, 10.0, 179.99, 5000.0), (3, -89.99, 0.0, 5000.0), (4, 10.0, 106.0, 3e7), (5, None, 1.0, 1.0)]
+    cells = circle_cells(spark.createDataFrame(rows, "request_id long, latitude double, longitude double, radius double"), "latitude", "longitude", "radius")
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[: plan.rindex("Generate")]
+    found = cells.collect()
+    assert len(found) == len(set(found)) and {r.request_id for r in found} == {1, 2, 3, 4}
+    assert {r.column < 0 for r in found if r.request_id == 2} == {True, False}
+
+
 def test_radius_holds_the_nearest(spark):
     rows, points = spots(spark, 400)
     asked = [(1, 10.005, 106.005), (2, 10.02, 106.001), (3, 50.0, 3.0), (4, -89.99, 179.99), (1, 10.005, 106.005)]
