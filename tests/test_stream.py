@@ -37,3 +37,24 @@ def test_late_records_arrive_once(spark, tmp_path):
         land(name, days)
         landing.deliver_once(landing.read_landing(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(int(r.external_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 11, 20, 21]
+
+
+def test_a_batch_is_sorted_by_as_many_tasks_as_it_has_splits(spark, tmp_path):
+    """The rows of a whole batch were sorted in the session's number of shuffle partitions, however many there were."""
+    rows = [{"provider_code": "feed", "external_id": str(n % 300), "collected_at": None if n % 3 else "2024-06-01T00:00:00Z"} for n in range(900)]
+    (tmp_path / "in").mkdir()
+    small = {"spark.sql.files.maxPartitionBytes": "8000", "spark.sql.shuffle.partitions": "1"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        for name in ("1.json", "2.json"):
+            (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+            landing.deliver_once(landing.read_landing(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = out.select(*landing.KEY).collect()
+    assert set(map(tuple, got)) == {(r["provider_code"], r["external_id"], r["collected_at"]) for r in rows} and len(got) == len(set(got))
+    assert len(list((tmp_path / "out" / "batch=0").glob("*.parquet"))) > 4
