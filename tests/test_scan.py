@@ -5,8 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from larder.functions import scan
+from larder.functions import scan, text as tx
 from larder.plans import enrich, repair
+from larder.sources import scans
 
 HOST = "https://lh3.googleusercontent.com/p/"
 
@@ -83,3 +84,27 @@ def test_junk_keys_are_made_once(spark):
     found = rows.filter(repair.is_junk(F.col("name")))
     assert {r.i for r in found.collect()} <= {0, 1, 2} and 0 in {r.i for r in found.collect()}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_food_places_are_neither_area_cards_nor_other_places(spark):
+    names = [None, "", " 　", "\n", "Quận 1", "Phở Bò", "Karaoke Mây", "chợ Bến Thành", "Go! Mall", "12 đường Quan", "Thủ Đức", "Green Farm", "Cityscape", "the  City", "Nhà  Bè", "mini ktv", "x^cho"]
+    labels = [None, "", "Bệnh viện", "Quán  cà phê", "Pet shop", "petal", "gas station", "Chợ"]
+    rows = spark.createDataFrame([(n, x) for n in names for x in labels], "name string, label string")
+    c = F.col
+    found = rows.select("name", "label", scan.is_food_place(c("name"), c("label")).alias("one"), (~scan.is_area_card(c("name")) & ~scan.is_not_food(c("name"), c("label"))).alias("two")).collect()
+    assert all(r.one == r.two for r in found)
+    assert {(r.name, r.label) for r in found if r.one} == {(n, x) for n in ("Phở Bò", "Cityscape", "x^cho") for x in (None, "", "Quán  cà phê", "petal")}
+
+
+def test_runs_of_white_space_become_one_space(spark):
+    texts = ["a b", " a  b ", "a\tb", "a  b", "　a\n\nb ", "a  b", "  ", "\t", "a b c  d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.collapse("t").alias("out")).collect()
+    assert [r.out for r in rows] == ["a b", "a b", "a b", "a b", "a b", "a b", "", "", "a b c d"]
+
+
+def test_a_heading_is_folded_once(spark):
+    places = spark.createDataFrame([("s", "u", "Phở Bò", 1, "x", [])], "scan_id string, url string, name string, review_count int, address string, images array<struct<url:string,alt_text:string>>")
+    panel = places.select("scan_id", "url", F.upper("name").alias("name"), F.lit(7).alias("review_count"), F.lit("1").alias("phone"), F.lit("w").alias("website"), F.lit(2).alias("price_level"), "address", "images", F.lit("r").alias("reviews"))
+    rows = scans.merge_details(places, panel)
+    assert rows.first().review_count == 7
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Normalizer") == 2
